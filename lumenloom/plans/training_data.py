@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenloom.operators import drift
+from lumenloom.operators import drift, nested
 from lumenloom.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -39,3 +40,39 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All readable records in one table, renamed fields replayed, the rest rescued."""
     return drift.consistent_table(table(spark, sf_dir, "manifest_lines"), MANIFEST_FIELDS, tuple(RECORD_KEY))
+
+
+#: The arrays of an export payload and their links.
+PAYLOAD_TABLES = (
+    nested.ChildTable("presented_image_refs", ("presented_image_refs",), self_link=("presented_img_idx", "parent_presented_img_idx")),
+    nested.ChildTable(
+        "question_involved_visual_details",
+        ("extra_info", "question_involved_visual_details"),
+        (nested.ChildTable("question_involved_visual_details.regions", ("regions",)),),
+    ),
+    nested.ChildTable(
+        "failure_events",
+        ("failure_events",),
+        (nested.ChildTable("failure_events.per_image", ("prompt_length_estimate_metadata", "per_image")),),
+    ),
+)
+
+
+@REGISTRY.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of a payload's arrays with its parent's place."""
+    tagged = nested.shred(table(spark, sf_dir, "export_payloads"), PAYLOAD_TABLES, "payload_id", "payload", body=False)
+    return tagged.select("payload_id", F.col("tag").alias("child_field"), "parent_no", "child_no")
+
+
+@REGISTRY.add("p4_tables")
+def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flat tables as one tagged stream: keys, parent keys and bodies, the payload itself included."""
+    return nested.shred(table(spark, sf_dir, "export_payloads"), PAYLOAD_TABLES, "payload_id", "payload", root="payload")
+
+
+@REGISTRY.add("p4_crops")
+def p4_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of presented images with its schema applied."""
+    tagged = nested.shred(table(spark, sf_dir, "export_payloads"), PAYLOAD_TABLES[:1], "payload_id", "payload")
+    return nested.apply_schema(tagged, "kind string, source_original_img_idx int, bbox_on_original array<int>, display_size array<int>, original_size array<int>, region_description string, zoom_in_factor double")
