@@ -34,8 +34,8 @@ def vocabulary(rows: DataFrame, question: str = "question", frequent: float = FR
     """
     words = F.array_distinct(F.split(F.lower(F.col(question)), "[^a-z]+"))
     counts = rows.where(F.col(question).isNotNull()).select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.where(F.col(question).isNotNull()).agg(F.count(F.lit(1)).alias("total"))
-    kept = counts.crossJoin(F.broadcast(total)).where((F.length("word") >= 3) & (F.col("n") >= F.greatest(F.lit(5), frequent * F.col("total"))))
+    total = rows.where(F.col(question).isNotNull()).count()
+    kept = counts.where((F.length("word") >= 3) & (F.col("n") >= max(5, frequent * total)))
     return Vocabulary({r.word: r.n for r in kept.select("word", "n").collect()})
 
 

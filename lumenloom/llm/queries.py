@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import overlap
+from lumenloom.llm import mixing, overlap
 from lumenloom.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -26,3 +26,37 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of each evaluation row found in training."""
     return overlap.evaluation_coverage(table(spark, sf_dir, "manifest"))
+
+
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "manifest").where("split = 'train'").select("row_id", "data_source")
+
+
+_SOURCE_KEY = "replace(lower(regexp_replace({}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')), '-', '_')"
+
+_MIX_SQL = f"""
+WITH counts AS (
+  SELECT {_SOURCE_KEY.format("data_source")} AS key, count(*) AS n FROM manifest WHERE split = 'train' AND data_source IS NOT NULL GROUP BY 1
+), plan AS (
+  SELECT w.source, w.weight, w.max_repeats, coalesce(c.n, 0) AS n_rows, sum(coalesce(c.n, 0)) OVER () AS total
+  FROM mix_weights w LEFT JOIN counts c ON c.key = {_SOURCE_KEY.format("w.source")}
+)
+"""
+
+
+@REGISTRY.add("p3_found", sql=_MIX_SQL + "SELECT source FROM plan WHERE weight * total > max_repeats * n_rows")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that can't reach their share of the mix."""
+    return mixing.mix_plan(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights")).where("not feasible").select("source")
+
+
+@REGISTRY.add("p3_report")
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.mix_report(mixing.mix_plan(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights")))
+
+
+@REGISTRY.add("p3_mix")
+def p3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed training records, shard by shard."""
+    return mixing.mix(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights"))

@@ -90,7 +90,7 @@ class Vocabulary:
         if word in self._seen:
             return self._seen[word]
         found: frozenset[str] = frozenset()
-        if len(word) >= 3 and not word.isdigit() and not self.knows(word):
+        if len(word) >= 3 and word.isalpha() and not self.knows(word):
             found = frozenset(w for key in self._keys(word) for w in self._by_letters.get(key, ()) if near_word(word, w))
         if len(self._seen) >= self.memory:
             self._seen.clear()
@@ -136,11 +136,27 @@ def content(question: str | None, words: Vocabulary) -> list[str]:
     return out
 
 
+def two_slips(a: str, b: str) -> bool:
+    """Whether at most two letters more, less or other, or swapped neighbours, lead from one long word to the other."""
+    if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 2:
+        return False
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        older, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, older[j - 2] + 1)
+            row.append(cost)
+    return row[-1] <= 2
+
+
 def same_content(a: Iterable[str], b: Iterable[str], words: Vocabulary) -> bool:
     """Whether two contents ask the same: equal words in any order, but for slips.
 
     A left-over rare word matches a known word, or a rare word, with which it
-    shares a meaning; one that can be a slip of a frame word may match nothing.
+    shares a meaning, and a known word of eight letters or more from which two
+    slips lead to it; one that can be a slip of a frame word may match nothing.
     Two names, numbers, pages or properties never match each other.
     """
     left, right = list(a), []
@@ -152,7 +168,8 @@ def same_content(a: Iterable[str], b: Iterable[str], words: Vocabulary) -> bool:
     for word in list(left):
         meant = words.meant(word)
         for other in right:
-            if other in meant or word in words.meant(other) or meant & words.meant(other):
+            rare = words.knows(word) + words.knows(other) == 1 and two_slips(word, other)
+            if other in meant or word in words.meant(other) or meant & words.meant(other) or rare:
                 left.remove(word)
                 right.remove(other)
                 break
