@@ -22,6 +22,9 @@ _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mod
 
 RESCUED = "_rescued"
 
+#: Turning fields (a row of about 100 bytes each) up to which they are broadcast; beyond, they meet the values by a shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def parse_objects(lines: DataFrame, line: str, keep: Sequence[Column]) -> DataFrame:
     """`keep` plus `_fields map<string,variant>`, one row per line that is exactly one JSON object.
@@ -245,6 +248,8 @@ def change_report(
     vanished = around.where("ends").select("feed", (F.col("n") + 1).alias("n"), F.col("field").alias("old_field"), F.col("kinds").alias("old_kinds"))
 
     turning = around.where(F.col("new") | F.col("ends")).select("feed", "file_name", "field", "n", "new", "ends")
+    if turning.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        turning = F.broadcast(turning)
     roles = F.array_compact(F.array(F.when(F.col("ends"), F.struct(F.lit("old").alias("role"), (F.col("n") + 1).alias("n"))), F.when(F.col("new"), F.struct(F.lit("new").alias("role"), F.col("n").alias("n")))))
     side = lambda role: F.collect_list(F.when(F.col("role") == role, F.struct("field", "v")))
     met = (
