@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenloom.llm import mixing, overlap
+from lumenloom.llm import bpe, mixing, overlap, packing
 from lumenloom.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -60,3 +61,36 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed training records, shard by shard."""
     return mixing.mix(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights"))
+
+
+@REGISTRY.add("p5_ids")
+def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("p5_round_trip")
+def p5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per source whose decoded ids give their text back (null texts give an empty one)."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    decoded = bpe.decode_corpus(bpe.encode_corpus(documents)).withColumnRenamed("text", "decoded")
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return documents.join(decoded, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count(F.when(same, 1)).alias("n_same"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lengths = bpe.encode_corpus(documents, lengths_only=True)
+    return packing.pack_corpus(lengths, table(spark, sf_dir, "pack_capacities"), total=documents.count())
+
+
+@REGISTRY.add("p6_packed")
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a container of each capacity."""
+    return _packed(spark, sf_dir)
+
+
+@REGISTRY.add("p6_report")
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each capacity are filled."""
+    return packing.fill_report(_packed(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
