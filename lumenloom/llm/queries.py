@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import bpe, mixing, overlap, packing
+from lumenloom.llm import bpe, harm, mixing, overlap, packing
 from lumenloom.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -94,3 +94,26 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the containers of each capacity are filled."""
     return packing.fill_report(_packed(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return harm.score_corpus(documents, harm.fit(documents, table(spark, sf_dir, "review_labels")))
+
+
+@REGISTRY.add("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least one abusive, hateful or sexual line."""
+    return _scored(spark, sf_dir).where("harmful").select("doc_id")
+
+
+@REGISTRY.add("p7_scores")
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; harmful above 0."""
+    return _scored(spark, sf_dir)
+
+
+@REGISTRY.add("p7_rates")
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of such documents per source."""
+    return harm.rates(_scored(spark, sf_dir))
