@@ -27,13 +27,15 @@ MOST_LABELLED, MOST_OTHERS = 1_500, 1_500
 #: Characters of a document that lines are learned from; scoring reads whole texts.
 LEARNED_CHARS = 20_000
 #: Lines learned from of each kind, landmarks, passes over the lines.
-MOST_LINES, LANDMARKS, ROUNDS = 2_500, 512, 4
-#: Cost of a violated margin.
-COST = 8.0
+MOST_LINES, LANDMARKS, ROUNDS = 2_500, 512, 3
+#: Score from which a harmful document's likeliest line is taken as its harmful one while learning.
+LIKELY = -0.2
+#: Cost of a violated margin, and how many times that of lines whose label is sure.
+COST, SURE = 8.0, 12.0
 #: Squared weights of features below which a line's length isn't taken as less, so that a few letters prove nothing.
 LEAST_COUNT = 30.0
-#: Documents of the samples in which a form of line occurs before it counts as surely harmless.
-FREQUENT = 6
+#: Share of the sampled documents in which a form of line occurs before it counts as surely harmless.
+FREQUENT = 0.01
 #: A feature's table size (a power of two).
 TABLE = 1 << 16
 #: Spacings at which the characters of a feature are taken, and their weights.
@@ -90,7 +92,7 @@ def lines_of(text: str) -> list[str]:
     if "-\n" in text:
         text = _HYPHEN.sub("", text)
     out = []
-    for line in _BREAK.split(text):
+    for line in map(str.strip, _BREAK.split(text)):
         if len(line) <= LINE:
             if len(line) > 3:
                 out.append(line)
@@ -150,7 +152,7 @@ def _hashes(codes: np.ndarray, spacing: tuple[int, ...]) -> np.ndarray:
 
 
 class Features:
-    """Of many lines the feature numbers and their values, scaled as in `line_scores`."""
+    """Of many lines the feature numbers and their values, scaled as in `line_scores` and by the features' rarity among the lines."""
 
     def __init__(self, lines: Sequence[str]) -> None:
         codes, offsets = characters(lines)
@@ -169,7 +171,9 @@ class Features:
         self.number = (unique % TABLE).astype(np.int64)
         self.begin = np.searchsorted(line, np.arange(len(lines) + 1))
         count = sum(w * w * np.maximum(np.diff(offsets) - spacing[-1], 0) for spacing, w in SPACINGS)
-        self.value = (values / np.sqrt(np.maximum(count, LEAST_COUNT))[line]).astype(np.float32)
+        lines_with = np.bincount(self.number, minlength=TABLE)
+        self.rarity = np.clip(np.log(self.n / np.maximum(1, lines_with)) / np.log(max(2, self.n)), 0.1, 1.0).astype(np.float32)
+        self.value = (values / np.sqrt(np.maximum(count, LEAST_COUNT))[line]).astype(np.float32) * self.rarity[self.number]
 
     def basis(self, marks: np.ndarray) -> np.ndarray:
         """The marked lines as the columns of a dense table."""
@@ -244,7 +248,7 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> np
     return w
 
 
-def _fold(pool: Features, rows: np.ndarray, y: np.ndarray, scores: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+def _fold(pool: Features, rows: np.ndarray, y: np.ndarray, importance: np.ndarray, scores: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """Trains on lines of the pool and returns the feature weights and the bias.
 
     Landmarks are harmful lines, the harmless ones that score highest so far, and other harmless ones.
@@ -258,7 +262,7 @@ def _fold(pool: Features, rows: np.ndarray, y: np.ndarray, scores: np.ndarray, s
     root = vectors[:, kept] / np.sqrt(eigen[kept])
     z = np.hstack([pool.kernel(rows, marks) @ root, np.ones((len(rows), 1))])
     share = (y > 0).mean()
-    w = _svm(z, y, np.where(y > 0, 2 * (1 - share), 2 * share) * COST)
+    w = _svm(z, y, np.where(y > 0, 2 * (1 - share), 2 * share) * importance * COST)
     alpha = root @ w[:-1]
     table = np.zeros(TABLE)
     for j, i in enumerate(marks):
@@ -267,12 +271,13 @@ def _fold(pool: Features, rows: np.ndarray, y: np.ndarray, scores: np.ndarray, s
     return table.astype(np.float32), float(w[-1])
 
 
+_LEAD = re.compile(r"^[^,.!?]{2,28}, ")
 _NUMBER, _NAME = re.compile(r"\d+"), re.compile(r"(?<!^)\b[A-Z]\w+(?: [A-Z]\w+)*")
 
 
 def signature(line: str) -> str:
-    """A line without its numbers and names, by which lines of the same form are told."""
-    return _NAME.sub("N", _NUMBER.sub("0", line)).strip().lower()
+    """A line without its numbers, names and a short lead before a comma, by which lines of the same form are told."""
+    return _NAME.sub("N", _NUMBER.sub("0", _LEAD.sub("", line))).strip().lower()
 
 
 def _learn(bags: list[list[str]], sure: Sequence[str], clean: Sequence[str], others: Sequence[str], seed: int) -> tuple[np.ndarray, float]:
@@ -285,18 +290,20 @@ def _learn(bags: list[list[str]], sure: Sequence[str], clean: Sequence[str], oth
     bag_of = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
     y = np.zeros(len(lines))
     y[:a], y[a:d] = 1, -1
+    importance = np.ones(len(lines))
+    importance[:b] = SURE
     table, bias, s = np.zeros(TABLE, np.float32), 0.0, np.zeros(len(lines))
     for turn in range(ROUNDS):
         rows = np.flatnonzero(y)
-        table, bias = _fold(pool, rows, y[rows], s, seed + turn)
+        table, bias = _fold(pool, rows, y[rows], importance[rows], s, seed + turn)
         s = pool.scores(table) + bias
         y[b:c] = np.where(s[b:c] < 0.4, -1, 0)
         y[c:d] = np.where(s[c:d] < 0.0, -1, np.where(s[c:d] > 0.5, 1, 0))
         own = s[d:]
         best = np.full(len(bags), -9.0)
         np.maximum.at(best, bag_of, own)
-        y[d:] = np.where((own > 0.1) | ((own == best[bag_of]) & (own > -0.25)), 1, np.where(own < -0.4, -1, 0))
-    return table, bias
+        y[d:] = np.where((own > 0.1) | ((own == best[bag_of]) & (own > LIKELY)), 1, np.where(own < -0.4, -1, 0))
+    return table * pool.rarity, bias
 
 
 def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] = (), seed: int = 5) -> Model:
@@ -304,13 +311,13 @@ def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] =
 
     Which lines make a document harmful isn't known, so it is learned too: the
     first round sets the seeds' harmful lines against everything else; then,
-    round by round, a harmful document's lines that score as harmful, or its
-    likeliest one, join them, lines of unlabelled documents follow their score,
-    and lines of harmless documents that score as harmful are left out as
-    probable labelling errors. Forms of lines that many documents share are
-    harmless for sure. The threshold is the one that separates labelled
-    documents best that a model trained on the others scores; without enough of
-    both kinds it is 0.
+    round by round, a harmful document's lines that score as harmful, and its
+    likeliest one if it comes near, join them, as do lines of unlabelled
+    documents that score high; lines of harmless documents that score as harmful
+    are left out as probable labelling errors. Forms of lines that many documents
+    share are harmless for sure.
+    The threshold is the one that separates labelled documents best that
+    a model trained on the others scores; without enough of both kinds it is 0.
     """
     harmful = np.array(harmful, bool)
     per_document = [list(dict.fromkeys(lines_of(t[:LEARNED_CHARS]))) for t in texts]
@@ -318,8 +325,8 @@ def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] =
 
     known_others = [list(dict.fromkeys(lines_of(t[:LEARNED_CHARS]))) for t in dict.fromkeys(others)]
 
-    def pick(lines: list[str]) -> list[str]:
-        return [lines[k] for k in random.permutation(len(lines))[:MOST_LINES]]
+    def pick(lines: list[str], most: int = MOST_LINES) -> list[str]:
+        return [lines[k] for k in random.permutation(len(lines))[:most]]
 
     def model(chosen: np.ndarray) -> tuple[np.ndarray, float]:
         clean_documents = [per_document[i] for i in dict.fromkeys(chosen) if not harmful[i]]
@@ -327,12 +334,15 @@ def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] =
         for document in chain(clean_documents, known_others):
             for form, line in {signature(x): x for x in document}.items():
                 seen.setdefault(form, []).append(line)
-        sure = {form for form, lines in seen.items() if len(lines) >= FREQUENT}
-        clean = {form: x for document in clean_documents for x in document if (form := signature(x)) not in sure}
-        rest = {form: x for document in known_others for x in document if (form := signature(x)) not in sure and form not in clean}
-        frequent = [x for form in sorted(sure) for x in dict.fromkeys(seen[form][:6])]
-        bags = [[x for x in per_document[i] if signature(x) not in sure and signature(x) not in clean] for i in chosen if harmful[i]]
-        return _learn([bag for bag in bags if bag], pick(frequent), pick(list(clean.values())), pick(list(rest.values())), seed)
+        often = max(5, FREQUENT * (len(clean_documents) + len(known_others)))
+        sure = sorted((form for form, lines in seen.items() if len(lines) >= often), key=lambda form: (-len(seen[form]), form))
+        variants = [list(dict.fromkeys(seen[form]))[:8] for form in sure]
+        frequent = [lines[k] for k in range(8) for lines in variants if k < len(lines)][:MOST_LINES]
+        whole = "\n".join(sure)  # pieces of sure forms, as of texts cut short, are harmless as well
+        clean = {form: x for document in clean_documents for x in document if (form := signature(x)) not in whole}
+        rest = {form: x for document in known_others for x in document if (form := signature(x)) not in whole and form not in clean}
+        bags = [[x for x in per_document[i] if (form := signature(x)) not in whole and form not in clean] for i in chosen if harmful[i]]
+        return _learn([bag for bag in bags if bag], frequent, pick(list(clean.values())), pick(list(rest.values())), seed)
 
     everyone = random.permutation(len(texts))
     table, bias = model(everyone)
@@ -342,7 +352,7 @@ def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] =
         t, b = model(everyone[len(everyone) // 2 :])
         scores = np.array(Model(t, b, 0.0).score([texts[i] for i in held]))
         bad = harmful[held]
-        tried = np.linspace(-0.4, 0.4, 33)
+        tried = np.linspace(-0.1, 0.4, 26)
         hits = np.array([(scores[bad] > t).sum() for t in tried])
         false = np.array([(scores[~bad] > t).sum() for t in tried])
         f1 = 2 * hits / np.maximum(1, hits + false + bad.sum())
