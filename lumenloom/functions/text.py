@@ -78,16 +78,21 @@ MOST_CHARS, MOST_WORDS, LEAST_UNIQUE, LONG_TEXT, LONGEST_RUN, MOST_REPEATS = 50_
 
 def degenerate_reasons(text: Column) -> Column:
     """Why a text is degenerate, in order; an empty array if it isn't. Words by white space, case kept, limits exclusive."""
-    tokens = words(text)
-    n = F.size(tokens)
-    reasons = F.array(
-        F.when(F.length(text) > MOST_CHARS, "too_many_chars"),
-        F.when(n > MOST_WORDS, "too_many_words"),
-        F.when((n >= LONG_TEXT) & (F.size(F.array_distinct(tokens)) / n < LEAST_UNIQUE), "low_unique_ratio"),
-        F.when(longest_run(tokens) > LONGEST_RUN, "repeated_word"),
-        F.when(n >= LONG_TEXT, F.when(repeated_ngrams(tokens) > MOST_REPEATS, "repeated_ngram")),
-    )
-    return F.array_compact(reasons)
+
+    def reasons(tokens: Column) -> Column:
+        n = F.size(tokens)
+        return F.array_compact(
+            F.array(
+                F.when(F.length(text) > MOST_CHARS, "too_many_chars"),
+                F.when(n > MOST_WORDS, "too_many_words"),
+                F.when((n >= LONG_TEXT) & (F.size(F.array_distinct(tokens)) / n < LEAST_UNIQUE), "low_unique_ratio"),
+                F.when(longest_run(tokens) > LONGEST_RUN, "repeated_word"),
+                F.when(n >= LONG_TEXT, F.when(repeated_ngrams(tokens) > MOST_REPEATS, "repeated_ngram")),
+            )
+        )
+
+    # The array of one binds the words to a variable; inlined, they would be split anew for every n-gram.
+    return F.transform(F.array(words(text)), reasons)[0]
 
 
 def truncate(text: Column, most: int, side: str = "middle") -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions.text import page_of_path, rescale_of_path
 from lumenloom.functions.values import clean_text, finite_float
+from lumenloom.session import ensure_checkpoint_dir
 
 #: A sample of a rollout log.
 SAMPLE = (
@@ -125,9 +126,12 @@ def missing_images(rows: DataFrame, pages: DataFrame, root: str, images: str = "
 def position(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds index, the row's place from 0 in a unique order: a range sort numbers each partition and adds the counts before it.
 
-    Unlike a window without partitions this keeps the rows distributed; only one count per partition meets in a task.
+    Unlike a window without partitions this keeps the rows distributed; only one
+    count per partition meets in a task. The sorted rows are checkpointed, so that
+    both uses see the same partitions.
     """
-    sorted_rows = rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(rows.sparkSession)
+    sorted_rows = rows.orderBy(*order).checkpoint().withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     first = sorted_rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
     before = first.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return sorted_rows.join(F.broadcast(before.drop("_n")), "_p").withColumn("index", F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_before")
