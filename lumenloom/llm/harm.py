@@ -27,9 +27,9 @@ MOST_LABELLED, MOST_OTHERS = 1_500, 1_500
 #: Characters of a document that lines are learned from; scoring reads whole texts.
 LEARNED_CHARS = 20_000
 #: Lines learned from of each kind, landmarks, passes over the lines.
-MOST_LINES, LANDMARKS, ROUNDS = 2_500, 512, 3
-#: Score from which a harmful document's likeliest line is taken as its harmful one while learning.
-LIKELY = -0.2
+MOST_LINES, LANDMARKS, ROUNDS = 4_000, 640, 3
+#: Weight of a harmful document's likeliest line while it doesn't score as harmful; a tenth of that if it scores below LIKELY.
+GUESS, LIKELY = 0.3, -0.5
 #: Cost of a violated margin, and how many times that of lines whose label is sure.
 COST, SURE = 8.0, 12.0
 #: Squared weights of features below which a line's length isn't taken as less, so that a few letters prove nothing.
@@ -262,7 +262,7 @@ def _fold(pool: Features, rows: np.ndarray, y: np.ndarray, importance: np.ndarra
     root = vectors[:, kept] / np.sqrt(eigen[kept])
     z = np.hstack([pool.kernel(rows, marks) @ root, np.ones((len(rows), 1))])
     share = (y > 0).mean()
-    w = _svm(z, y, np.where(y > 0, 2 * (1 - share), 2 * share) * importance * COST)
+    w = _svm(z, y, np.where(y > 0, (1 - share) ** 0.25, share ** 0.25) * importance * COST)
     alpha = root @ w[:-1]
     table = np.zeros(TABLE)
     for j, i in enumerate(marks):
@@ -302,20 +302,21 @@ def _learn(bags: list[list[str]], sure: Sequence[str], clean: Sequence[str], oth
         own = s[d:]
         best = np.full(len(bags), -9.0)
         np.maximum.at(best, bag_of, own)
-        y[d:] = np.where((own > 0.1) | ((own == best[bag_of]) & (own > LIKELY)), 1, np.where(own < -0.4, -1, 0))
+        first = own == best[bag_of]
+        y[d:] = np.where((own > 0.1) | first, 1, np.where(own < -0.4, -1, 0))
+        importance[d:] = np.where(own > 0.1, 1.0, np.where(first & (own > LIKELY), GUESS, 0.1 * GUESS))
     return table * pool.rarity, bias
 
 
 def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] = (), seed: int = 5) -> Model:
     """Learns from documents labelled as a whole, from unlabelled ones, and from the labelled lines of `seeds`.
 
-    Which lines make a document harmful isn't known, so it is learned too: the
-    first round sets the seeds' harmful lines against everything else; then,
-    round by round, a harmful document's lines that score as harmful, and its
-    likeliest one if it comes near, join them, as do lines of unlabelled
-    documents that score high; lines of harmless documents that score as harmful
-    are left out as probable labelling errors. Forms of lines that many documents
-    share are harmless for sure.
+    Which lines make a document harmful isn't known, so it is learned too: in
+    every round a harmful document's likeliest line stands for it, with a small
+    weight until it scores as harmful; its other lines, and those of unlabelled
+    documents, follow their score; lines of harmless documents that score as
+    harmful are left out as probable labelling errors. Forms of lines that many
+    documents share, and the seeds, are sure and weigh most.
     The threshold is the one that separates labelled documents best that
     a model trained on the others scores; without enough of both kinds it is 0.
     """
@@ -352,7 +353,7 @@ def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] =
         t, b = model(everyone[len(everyone) // 2 :])
         scores = np.array(Model(t, b, 0.0).score([texts[i] for i in held]))
         bad = harmful[held]
-        tried = np.linspace(-0.1, 0.4, 26)
+        tried = np.linspace(-0.3, 0.4, 36)
         hits = np.array([(scores[bad] > t).sum() for t in tried])
         false = np.array([(scores[~bad] > t).sum() for t in tried])
         f1 = 2 * hits / np.maximum(1, hits + false + bad.sum())
