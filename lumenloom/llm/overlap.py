@@ -104,6 +104,8 @@ class Shard:
         Intervals that the automaton matches in the text are merged, and each
         passage is credited with the letters of its words inside them.
         """
+        if not self.holders:  # by chance no passage fell into this block
+            return
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for token in self.holders:
