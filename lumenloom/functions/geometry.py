@@ -142,12 +142,3 @@ def largest_factor(fits, steps: int = 24) -> Column:
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
     return F.when(fits(F.lit(1.0)), F.lit(1.0)).otherwise(found["lo"])
-
-
-def patch_grid(ratio: Column, least: int = 1, most: int = 12) -> Column:
-    """The grid [columns, rows] of least..most cells whose aspect ratio is nearest; ties go to fewer cells, then to fewer columns."""
-    grids = sorted(((i * j, i, j) for i in range(1, most + 1) for j in range(1, most + 1) if least <= i * j <= most))
-    options = F.array(*[F.struct(F.lit(float(i) / j).alias("r"), F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, i, j in grids])
-    scored = F.transform(options, lambda o: F.struct(F.abs(o["r"] - ratio).alias("d"), o["n"].alias("n"), o["i"].alias("i"), o["j"].alias("j")))
-    best = F.array_min(scored)
-    return F.array(best["i"], best["j"])

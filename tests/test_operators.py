@@ -36,7 +36,6 @@ def test_geometry(spark):
     assert one(spark, G.overlap(F.lit(None).cast("array<double>"), a)) is None
     assert one(spark, G.aspect_ratio(F.lit(0), F.lit(5))) == math.inf
     assert one(spark, G.image_tokens(F.array(F.array(F.lit(33), F.lit(32))))) == 2
-    assert one(spark, G.patch_grid(F.lit(2.0))) == [2, 1]
     assert one(spark, G.within_tolerance(a, box(1, 0, 2, 2)))
     assert one(spark, G.largest_factor(lambda f: f <= 0.5)) == pytest.approx(0.5)
     assert one(spark, G.to_thousandths(box(5, 0, 20, 10), F.lit(10.0), F.lit(10.0))) == [500, 0, 1000, 1000]
