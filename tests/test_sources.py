@@ -43,7 +43,7 @@ def test_origin_and_position(spark, tmp_path):
     assert [(r.id, r.file_no, r.row_index) for r in rows] == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (5, 1, 0)]
     assert readers.count_rows(spark, str(tmp_path / "none")) is None
     numbered = readers.position(spark.range(100).repartition(7), ["id"]).collect()
-    assert all(r.id == r.index for r in numbered)
+    assert all(r.id == r["index"] for r in numbered)
 
 
 def test_sinks(spark, tmp_path):
