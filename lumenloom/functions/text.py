@@ -16,6 +16,7 @@ def failure_kind(reason: Column) -> Column:
     before the first colon, others their first two non-empty parts, or the first
     96 characters where there is no colon.
     """
+    # Fixed values below: the words by which the kinds are told, and their names.
     text = clean_text(reason)
     low = F.lower(text)
     has = lambda *words: F.lit(False) if not words else _any([low.contains(w) for w in words])
@@ -104,7 +105,7 @@ def truncate(text: Column, most: int, side: str = "middle") -> Column:
         "right": lambda: F.concat(F.lit("(truncated)..."), F.substring(text, -most, most)),
         "middle": lambda: F.concat(F.substring(text, 1, half), mark, F.substring(text, -half, half)),
     }[side]()
-    return F.when(F.length(text) <= most, text).otherwise(cut)
+    return F.when((F.length(text) <= most) | F.lit(most <= 0), text).otherwise(cut)
 
 
 def answerability(source: Column) -> Column:
@@ -164,15 +165,39 @@ def tool_calls(text: Column) -> Column:
     return F.filter(parsed, lambda c: c["name"].isNotNull())
 
 
+def channel_tool_calls(text: Column) -> Column:
+    """Calls in channel format: array of (name, arguments as written); finished and open analysis is left out first."""
+    analysis = r"(?s)<\|start\|>assistant<\|channel\|>analysis<\|message\|>.*?(?:<\|end\|>|$)"
+    rest = F.regexp_replace(text, analysis, "")
+    call = r"(?s)<\|start\|>assistant<\|channel\|>[^<]*?\bto=functions\.([\w.-]+)[^<]*(?:<\|constrain\|>[^<]*)?<\|message\|>(.*?)<\|call\|>"
+    names, bodies = F.regexp_extract_all(rest, F.lit(call), F.lit(1)), F.regexp_extract_all(rest, F.lit(call), F.lit(2))
+    return F.zip_with(names, bodies, lambda n, a: F.struct(n.alias("name"), a.alias("arguments")))
+
+
+def content_parts(text: Column) -> Column:
+    """A text cut at its image tags: array of (kind, text), image parts between text parts, empty texts left out."""
+    pieces = F.split(text, "<image>")
+    both = F.flatten(F.transform(pieces, lambda p, i: F.array(F.struct(F.lit("image").alias("kind"), F.lit("").alias("text"), (i > 0).alias("use")), F.struct(F.lit("text").alias("kind"), p.alias("text"), (p != "").alias("use")))))
+    return F.transform(F.filter(both, lambda x: x["use"]), lambda x: F.struct(x["kind"], x["text"]))
+
+
 def tagged(text: Column, tag: str) -> Column:
     """The content of the first <tag>...</tag>, else null."""
     found = F.regexp_extract(text, rf"(?s)<{tag}>(.*?)</{tag}>", 1)
     return F.when(text.rlike(rf"(?s)<{tag}>.*?</{tag}>"), found)
 
 
-def unanswerable_text(text: Column, needles: tuple[str, ...] = ("not answerable", "unanswerable", "cannot be answered", "does not say")) -> Column:
-    """Whether a text says that the question has no answer; false for null."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+# What the two detectors of questions without an answer look for.
+UNANSWERABLE_RECORD = ("not-answerable", "unanswerable", "cannot answer", "cannot be answered")
+UNANSWERABLE_OUTPUT = ("not-answerable", "not answerable", "unanswerable", "cannot answer", "cannot be answered")
+
+
+def unanswerable_text(*values: Column, needles: tuple[str, ...] = UNANSWERABLE_OUTPUT) -> Column:
+    """Whether any of the values, joined by blanks, says that the question has no answer; nulls are left out.
+
+    The two detectors differ in their needles and in the fields they are given.
+    """
+    low = F.lower(F.concat_ws(" ", *values))
     return _any([low.contains(n) for n in needles])
 
 

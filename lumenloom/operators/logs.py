@@ -21,7 +21,8 @@ def latest_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     for key in keys:
         known = known.where(F.col(key).isNotNull())
     rest = [c for c in rows.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*[F.to_json(F.struct(*rest))])))
+    hashed = [F.to_json(F.col(c)) if "map<" in kind else F.col(c) for c, kind in rows.dtypes if c in rest and c not in order]
+    newest = F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*hashed) if hashed else F.lit(0)))
     return known.groupBy(*keys).agg(newest.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*rows.columns)
 
 

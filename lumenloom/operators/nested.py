@@ -166,3 +166,37 @@ def apply_schema(rows: DataFrame, schema: str) -> DataFrame:
         *[F.col(c) for c in rows.columns if c != "tag"],
         *[F.col("_parsed")[n].alias(f"body_{n}" if n in taken else n) for n in names],
     )
+
+
+#: Fields of an object that is a box, at any depth.
+BOX_FIELDS = ("left", "top", "width", "height", "page")
+
+
+def boxes_within(value: object) -> Iterator[tuple[int, list[float]]]:
+    """Page and [x1, y1, x2, y2] of every object with the box fields and a positive extent, depth first, however deep."""
+    stack = [value]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, dict):
+            numbers = [as_number(item.get(f)) for f in BOX_FIELDS]
+            if all(n is not None and n == n and abs(n) != float("inf") for n in numbers):
+                left, top, width, height, page = numbers
+                if width > 0 and height > 0:
+                    yield int(page), [left, top, left + width, top + height]
+            stack.extend(reversed(list(item.values())))
+        elif isinstance(item, list):
+            stack.extend(reversed(item))
+
+
+def harvest_boxes(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """One row per box found anywhere in a record's JSON: `id_column`, page, box. Null and unreadable records give none."""
+    id_type = records.schema[id_column].dataType.simpleString()
+    flat = records.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{json_column}`").alias("_json"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, page, box) for i, text in enumerate(batch.column(1).to_pylist()) for page, box in boxes_within(decode(text))]
+            sources, pages, boxes = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(sources, pa.int64())), pa.array(pages, pa.int32()), pa.array(boxes, pa.list_(pa.float64()))], ["_id", "page", "box"])
+
+    return flat.mapInArrow(run, f"_id {id_type}, page int, box array<double>").withColumnRenamed("_id", id_column)

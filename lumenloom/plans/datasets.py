@@ -149,11 +149,20 @@ def source_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("missing", F.col("expected") - F.col("actual"))
 
 
-@REGISTRY.add("unanswerable", sql="""SELECT row_id, contains(lower(coalesce(answer, '')), 'not answerable') OR contains(lower(coalesce(answer, '')), 'unanswerable') OR contains(lower(coalesce(answer, '')), 'cannot be answered') OR contains(lower(coalesce(answer, '')), 'does not say') AS unanswerable,
-  contains(lower(coalesce(question_type, '')), 'not-answerable') AS typed_so FROM manifest""")
+def _needles(text: str, needles: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{n}')" for n in needles) + ")"
+
+
+@REGISTRY.add(
+    "unanswerable",
+    sql=f"""SELECT row_id, {_needles("lower(concat_ws(' ', question_type, answer, question_id))", T.UNANSWERABLE_RECORD)} AS by_record,
+      {_needles("lower(concat_ws(' ', question_type, answer, subset))", T.UNANSWERABLE_OUTPUT)} AS by_output FROM manifest""",
+)
 def unanswerable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose answer or type says that there is no answer."""
-    return table(spark, sf_dir, "manifest").select("row_id", T.unanswerable_text(F.col("answer")).alias("unanswerable"), T.unanswerable_text(F.col("question_type"), ("not-answerable",)).alias("typed_so"))
+    """Rows that say that there is no answer, by either detector."""
+    by_record = T.unanswerable_text(F.col("question_type"), F.col("answer"), F.col("question_id"), needles=T.UNANSWERABLE_RECORD)
+    by_output = T.unanswerable_text(F.col("question_type"), F.col("answer"), F.col("subset"))
+    return table(spark, sf_dir, "manifest").select("row_id", by_record.alias("by_record"), by_output.alias("by_output"))
 
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"

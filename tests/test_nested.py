@@ -50,3 +50,12 @@ def test_tagged_store_round_trip(spark, tmp_path):
     table = nested.read_table(spark, str(tmp_path / "store"), "presented_image_refs", "kind string, pk string, absent int")
     row = table.first()
     assert (row.kind, row.body_pk, row.absent, row.pk) == ("initial", "own", None, "/presented_image_refs:0")
+
+
+def test_boxes_anywhere(spark):
+    box = {"left": 1, "top": "2", "width": 3, "height": 4, "page": 5}
+    deep = box
+    for _ in range(300):
+        deep = {"a": [deep]}
+    df = spark.createDataFrame([(1, json.dumps([deep, {**box, "width": 0}, {**box, "page": None}])), (2, None), (3, "{")], "id int, text string")
+    assert [(r.id, r.page, r.box) for r in nested.harvest_boxes(df, "id", "text").collect()] == [(1, 5, [1.0, 2.0, 4.0, 6.0])]

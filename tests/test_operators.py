@@ -82,6 +82,12 @@ def test_text(spark):
     assert one(spark, T.boxes_in_text(F.lit("a <box>(1,2, 3,4)</box> <box>(1)</box>"))) == [[1, 2, 3, 4]]
     assert [c.name for c in one(spark, T.tool_calls(F.lit('<tool_call>{"name":"z","arguments":{"a":1}}</tool_call><tool_call>{</tool_call>')))] == ["z"]
     assert one(spark, T.benchmark(F.lit(None).cast("string"), F.lit("/a/dude-val-1.json"))) == "dude"
+    calls = one(spark, T.channel_tool_calls(F.lit('<|start|>assistant<|channel|>analysis<|message|>to=functions.no<|end|><|start|>assistant<|channel|>commentary to=functions.zoom <|constrain|>json<|message|>{"a":1}<|call|>')))
+    assert [(c.name, c.arguments) for c in calls] == [("zoom", '{"a":1}')]
+    assert [(p.kind, p.text) for p in one(spark, T.content_parts(F.lit("<image><image>a<image>")))] == [("image", ""), ("image", ""), ("text", "a"), ("image", "")]
+    assert one(spark, T.unanswerable_text(F.lit("Not Answerable"))) and not one(spark, T.unanswerable_text(F.lit("not answerable"), needles=T.UNANSWERABLE_RECORD))
+    assert not one(spark, T.unanswerable_text(F.lit(None).cast("string")))
+    assert one(spark, T.truncate(F.lit("abc"), 0)) == "abc"
     assert one(spark, T.page_of_path(F.lit("doc/000012.jpg"))) == 12
     assert one(spark, T.rewrite_prefix(F.lit("/a/bc/x"), {"/a/b": "/n", "/a": "/m"})) == "/m/bc/x"
     assert one(spark, T.category(F.lit("map_metro_answerable_mc_false_e"))) == "map_metro"
