@@ -50,9 +50,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+#: White space as `str.split()` of Python has it, of any script.
+_WHITE_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def split_words(text: Column) -> Column:
+    """Words by the white space of all scripts, as the reference splits them; an empty array for null and blank texts."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _WHITE_SPACE), lambda w: w != "")
+
+
 def token_estimate(text: Column) -> Column:
-    """Words over 0.75, rounded up."""
-    return F.ceil(F.size(words(text)) / 0.75).cast("bigint")
+    """Words over 0.75, rounded up; 0 for null and blank texts."""
+    return F.ceil(F.size(split_words(text)) / 0.75).cast("bigint")
 
 
 def longest_run(tokens: Column) -> Column:

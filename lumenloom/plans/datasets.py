@@ -173,9 +173,12 @@ _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
     sql=f"""SELECT doc_id, length(text) AS n_chars, len({_WORDS}) AS n_words, len(list_distinct({_WORDS})) AS n_unique, CAST(ceil(len({_WORDS}) / 0.75) AS BIGINT) AS token_estimate FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\t\\n\\f\\r\\x20-\\x7e]*$')""",
 )
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters, words, distinct words and estimated tokens of plain ASCII texts (engines agree on white space there)."""
-    words = T.words(F.col("text"))
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\t\n\f\r\x20-\x7e]*$"))
+    """Characters, words, distinct words and estimated tokens of every document; a null text has null characters and no words.
+
+    The SQL covers only the printable ASCII texts, on which the engines agree on white space.
+    """
+    words = T.split_words(F.col("text"))
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.size(words).cast("bigint").alias("n_words"), F.size(F.array_distinct(words)).cast("bigint").alias("n_unique"), T.token_estimate(F.col("text")).alias("token_estimate"))
 
 
