@@ -12,7 +12,9 @@ table of feature weights, and scoring a corpus is a vectorised look-up.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -34,8 +36,10 @@ GUESS, LIKELY = 0.3, -0.5
 COST, SURE = 8.0, 12.0
 #: Squared weights of features below which a line's length isn't taken as less, so that a few letters prove nothing.
 LEAST_COUNT = 30.0
-#: Share of the sampled documents in which a form of line occurs before it counts as surely harmless.
+#: Share of all documents in which a form of line occurs before it can count as surely harmless.
 FREQUENT = 0.01
+#: A form whose share of the harmful documents is so many times that of the harmless ones speaks for harm.
+TELLING = 2.0
 #: A feature's table size (a power of two).
 TABLE = 1 << 16
 #: Spacings at which the characters of a feature are taken, and their weights.
@@ -271,8 +275,8 @@ def _fold(pool: Features, rows: np.ndarray, y: np.ndarray, importance: np.ndarra
     return table.astype(np.float32), float(w[-1])
 
 
-_LEAD = re.compile(r"^[^,.!?]{2,28}, ")
-_NUMBER, _NAME = re.compile(r"\d+"), re.compile(r"(?<!^)\b[A-Z]\w+(?: [A-Z]\w+)*")
+_LEAD = re.compile(r"^[^,.!?\n]{2,28}, ", re.M)
+_NUMBER, _NAME = re.compile(r"\d+"), re.compile(r"(?<!^)\b[A-Z]\w+(?: [A-Z]\w+)*", re.M)
 
 
 def signature(line: str) -> str:
@@ -280,6 +284,37 @@ def signature(line: str) -> str:
     return _NAME.sub("N", _NUMBER.sub("0", _LEAD.sub("", line))).strip().lower()
 
 
+def signatures(lines: Sequence[str]) -> set[str]:
+    """The signatures of lines, worked out at once; none of `lines_of` holds a line feed."""
+    return set(map(str.strip, _NAME.sub("N", _NUMBER.sub("0", _LEAD.sub("", "\n".join(lines)))).lower().split("\n"))) if lines else set()
+
+
+def form_number(form: str) -> int:
+    """A signature as a number that is the same in every process."""
+    return int.from_bytes(blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def form_counts(documents: DataFrame, most: int = 200_000) -> DataFrame:
+    """form, n: in how many documents each form of line occurs, over whole texts of all documents, added up in a task for `most` forms at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(map(form_number, counts), pa.int64()), pa.array(counts.values(), pa.int64())], ["form", "n"])
+            counts.clear()
+            return batch
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(signatures(lines_of(text.as_py())))
+                if len(counts) >= most:
+                    yield out()
+        yield out()
+
+    return documents.where("text <> ''").select("text").mapInArrow(run, "form bigint, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
+
+
 def _learn(bags: list[list[str]], sure: Sequence[str], clean: Sequence[str], others: Sequence[str], seed: int) -> tuple[np.ndarray, float]:
     """Feature weights and bias from bags of which most hold a harmful line, surely harmless lines, lines of harmless documents, and lines of which few are harmful."""
     lines = [*HARMFUL, *HARMLESS, *sure, *clean, *others, *(x for bag in bags for x in bag)]
@@ -293,10 +328,12 @@ def _learn(bags: list[list[str]], sure: Sequence[str], clean: Sequence[str], oth
     importance = np.ones(len(lines))
     importance[:b] = SURE
     table, bias, s = np.zeros(TABLE, np.float32), 0.0, np.zeros(len(lines))
+    e = a + len(HARMLESS)
     for turn in range(ROUNDS):
         rows = np.flatnonzero(y)
         table, bias = _fold(pool, rows, y[rows], importance[rows], s, seed + turn)
         s = pool.scores(table) + bias
+        y[e:b] = np.where(s[e:b] < 0.4, -1, 0)
         y[b:c] = np.where(s[b:c] < 0.4, -1, 0)
         y[c:d] = np.where(s[c:d] < 0.0, -1, np.where(s[c:d] > 0.5, 1, 0))
         own = s[d:]
@@ -308,15 +345,20 @@ def _learn(bags: list[list[str]], sure: Sequence[str], clean: Sequence[str], oth
     return table * pool.rarity, bias
 
 
-def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] = (), seed: int = 5) -> Model:
+def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] = (), seed: int = 5, shares: Mapping[int, float] | None = None) -> Model:
     """Learns from documents labelled as a whole, from unlabelled ones, and from the labelled lines of `seeds`.
 
     Which lines make a document harmful isn't known, so it is learned too: in
     every round a harmful document's likeliest line stands for it, with a small
     weight until it scores as harmful; its other lines, and those of unlabelled
     documents, follow their score; lines of harmless documents that score as
-    harmful are left out as probable labelling errors. Forms of lines that many
-    documents share, and the seeds, are sure and weigh most.
+    harmful are left out as probable labelling errors. The seeds are sure and
+    weigh most, and so do forms of lines that many documents share (`shares`: of
+    form numbers the share of all documents; by default, of those given), if the
+    labels bear it out: a form must be about as common in harmless documents as
+    in all, and not more so in harmful ones. Forms that are stay in the harmful
+    documents, even if a harmless one has them. Sure lines but the seeds are left
+    out as well once they score as harmful.
     The threshold is the one that separates labelled documents best that
     a model trained on the others scores; without enough of both kinds it is 0.
     """
@@ -331,18 +373,29 @@ def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] =
 
     def model(chosen: np.ndarray) -> tuple[np.ndarray, float]:
         clean_documents = [per_document[i] for i in dict.fromkeys(chosen) if not harmful[i]]
+        bad_documents = [per_document[i] for i in dict.fromkeys(chosen) if harmful[i]]
         seen: dict[str, list[str]] = {}
         for document in chain(clean_documents, known_others):
             for form, line in {signature(x): x for x in document}.items():
                 seen.setdefault(form, []).append(line)
-        often = max(5, FREQUENT * (len(clean_documents) + len(known_others)))
-        sure = sorted((form for form, lines in seen.items() if len(lines) >= often), key=lambda form: (-len(seen[form]), form))
+        n_clean, n_bad, n_seen = len(clean_documents), len(bad_documents), len(clean_documents) + len(known_others)
+        in_clean = Counter(form for document in clean_documents for form in signatures(document))
+        in_bad = Counter(form for document in bad_documents for form in signatures(document))
+        telling = {form for form, n in in_bad.items() if n > 1 and n / n_bad > TELLING * (in_clean[form] + 1) / (n_clean + 1)}
+
+        def surely_harmless(form: str) -> bool:
+            share = len(seen[form]) / n_seen if shares is None else shares.get(form_number(form), 0.0)
+            if share < FREQUENT or len(seen[form]) < 5 and shares is None:
+                return False
+            return form not in telling and in_clean[form] >= max(1, share * n_clean / 2)
+
+        sure = sorted(filter(surely_harmless, seen), key=lambda form: (-len(seen[form]), form))
         variants = [list(dict.fromkeys(seen[form]))[:8] for form in sure]
         frequent = [lines[k] for k in range(8) for lines in variants if k < len(lines)][:MOST_LINES]
         whole = "\n".join(sure)  # pieces of sure forms, as of texts cut short, are harmless as well
-        clean = {form: x for document in clean_documents for x in document if (form := signature(x)) not in whole}
-        rest = {form: x for document in known_others for x in document if (form := signature(x)) not in whole and form not in clean}
-        bags = [[x for x in per_document[i] if (form := signature(x)) not in whole and form not in clean] for i in chosen if harmful[i]]
+        clean = {form: x for document in clean_documents for x in document if (form := signature(x)) not in telling and form not in whole}
+        rest = {form: x for document in known_others for x in document if (form := signature(x)) not in clean and (form in telling or form not in whole)}
+        bags = [[x for x in per_document[i] if (form := signature(x)) in telling or form not in whole and form not in clean] for i in chosen if harmful[i]]
         return _learn([bag for bag in bags if bag], frequent, pick(list(clean.values())), pick(list(rest.values())), seed)
 
     everyone = random.permutation(len(texts))
@@ -376,14 +429,20 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LA
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """A model trained on the driver from bounded samples: 2 * MOST_LABELLED labelled texts and MOST_OTHERS others, of LEARNED_CHARS each."""
+    """A model trained on the driver from bounded samples: 2 * MOST_LABELLED labelled texts and MOST_OTHERS others, of LEARNED_CHARS each.
+
+    Which forms of lines are frequent is counted over all documents; only those
+    at or above FREQUENT reach the driver, at most a document's mean number of
+    lines over FREQUENT.
+    """
     head = F.substring("text", 1, LEARNED_CHARS).alias("text")
     rows = labelled_sample(documents, labels).select(head, "harmful").limit(2 * MOST_LABELLED).collect()
     # The documents of lowest hash; the bound on the hash keeps a task from sorting more than a few of them.
     total = documents.count()
     low = F.xxhash64("doc_id") < int(-(2**63) + min(1.0, 3 * MOST_OTHERS / max(1, total)) * (2**64 - 2**11))
     others = documents.where(low & (F.col("text") != "")).select(head, F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(MOST_OTHERS).collect()
-    return train([r.text for r in rows], [r.harmful for r in rows], [r.text for r in others])
+    frequent = form_counts(documents).where(F.col("n") >= max(5, FREQUENT * total)).collect()
+    return train([r.text for r in rows], [r.harmful for r in rows], [r.text for r in others], shares={r.form: r.n / total for r in frequent})
 
 
 def score_corpus(documents: DataFrame, model: Model) -> DataFrame:

@@ -89,3 +89,39 @@ def test_corpus_queries(spark, corpus):
     rates = {r.source: r for r in harm.rates(scored).collect()}
     assert rates[None].n_documents == 200 and rates["s"].n_documents == 202
     assert harm.score_corpus(docs.limit(0), harm.fit(docs.limit(0), marks.limit(0))).count() == 0
+
+
+@pytest.fixture(scope="module")
+def skewed():
+    """Documents of which a twentieth holds the same abusive form, and the labels of a third of them, some wrong."""
+    r = random.Random(8)
+    fine = ["The {} plan of ward {} was approved.", "See table {1} for the {0} floor.", "A {} map hangs in hall {}.", "Note {1} names the {0} wing.", "Page {1} shows a {0} line."]
+    word = lambda: "".join(r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    texts, labels = [], []
+    for i in range(1500):
+        lines = [r.choice(fine).format(word(), r.randint(1, 99)) for _ in range(r.randint(3, 7))]
+        if i % 20 == 0:
+            lines.insert(r.randrange(len(lines)), f"Shovelmouth lot {r.randint(1, 99)} ought to be scrubbed off our pavement.")
+        texts.append(" ".join(lines))
+        labels.append(i % 20 == 0 if i % 97 else i % 20 != 0)
+    return texts, labels
+
+
+def test_a_frequent_harmful_form_is_learned(skewed):
+    texts, labels = skewed
+    model = harm.train(texts[:500], labels[:500], texts[500:1000])
+    found = np.array(model.score(texts[1000:])) > model.threshold
+    truth = np.arange(1000, 1500) % 20 == 0
+    assert found[truth].all()
+    assert found[~truth].mean() < 0.05
+
+
+def test_forms_are_counted_over_all_documents(spark, skewed):
+    texts = [*skewed[0][:300], None, "", " ", "Dear N, see 5.\nWell then, see 7 of Ward Nine.\nΑΣ 3", skewed[0][0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = {}
+    for text in texts:
+        for form in {harm.signature(x) for x in harm.lines_of(text or "")}:
+            want[harm.form_number(form)] = want.get(harm.form_number(form), 0) + 1
+    for most in (200_000, 2):
+        assert {r.form: r.n for r in harm.form_counts(docs, most).collect()} == want
