@@ -26,8 +26,6 @@ from lumenloom.llm.seeds import HARMFUL, HARMLESS
 
 #: Labelled documents of each class, and other documents, from which lines are learned (bounded samples, by hash of the id).
 MOST_LABELLED, MOST_OTHERS = 1_500, 1_500
-#: Characters of a document that lines are learned from; scoring reads whole texts.
-LEARNED_CHARS = 20_000
 #: Lines learned from of each kind, landmarks, passes over the lines.
 MOST_LINES, LANDMARKS, ROUNDS = 4_000, 640, 3
 #: Weight of a harmful document's likeliest line while it doesn't score as harmful; a tenth of that if it scores below LIKELY.
@@ -363,10 +361,10 @@ def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] =
     a model trained on the others scores; without enough of both kinds it is 0.
     """
     harmful = np.array(harmful, bool)
-    per_document = [list(dict.fromkeys(lines_of(t[:LEARNED_CHARS]))) for t in texts]
+    per_document = [list(dict.fromkeys(lines_of(t))) for t in texts]
     random = np.random.default_rng(seed)
 
-    known_others = [list(dict.fromkeys(lines_of(t[:LEARNED_CHARS]))) for t in dict.fromkeys(others)]
+    known_others = [list(dict.fromkeys(lines_of(t))) for t in dict.fromkeys(others)]
 
     def pick(lines: list[str], most: int = MOST_LINES) -> list[str]:
         return [lines[k] for k in random.permutation(len(lines))[:most]]
@@ -429,18 +427,17 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LA
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """A model trained on the driver from bounded samples: 2 * MOST_LABELLED labelled texts and MOST_OTHERS others, of LEARNED_CHARS each.
+    """A model trained on the driver from bounded samples: 2 * MOST_LABELLED labelled texts and MOST_OTHERS others.
 
-    Which forms of lines are frequent is counted over all documents; only those
+    Whole texts are read. Which forms of lines are frequent is counted over all documents; only those
     at or above FREQUENT reach the driver, at most a document's mean number of
     lines over FREQUENT.
     """
-    head = F.substring("text", 1, LEARNED_CHARS).alias("text")
-    rows = labelled_sample(documents, labels).select(head, "harmful").limit(2 * MOST_LABELLED).collect()
+    rows = labelled_sample(documents, labels).limit(2 * MOST_LABELLED).collect()
     # The documents of lowest hash; the bound on the hash keeps a task from sorting more than a few of them.
     total = documents.count()
     low = F.xxhash64("doc_id") < int(-(2**63) + min(1.0, 3 * MOST_OTHERS / max(1, total)) * (2**64 - 2**11))
-    others = documents.where(low & (F.col("text") != "")).select(head, F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(MOST_OTHERS).collect()
+    others = documents.where(low & (F.col("text") != "")).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(MOST_OTHERS).collect()
     frequent = form_counts(documents).where(F.col("n") >= max(5, FREQUENT * total)).collect()
     return train([r.text for r in rows], [r.harmful for r in rows], [r.text for r in others], shares={r.form: r.n / total for r in frequent})
 

@@ -125,3 +125,15 @@ def test_forms_are_counted_over_all_documents(spark, skewed):
             want[harm.form_number(form)] = want.get(harm.form_number(form), 0) + 1
     for most in (200_000, 2):
         assert {r.form: r.n for r in harm.form_counts(docs, most).collect()} == want
+
+
+def test_lines_late_in_long_texts_are_learned(spark, skewed):
+    filler = "See table 5 for the floor area. " * 700
+    texts = [filler + t for t in skewed[0][:1000]] + skewed[0][1000:]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:1000])], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(skewed[1][:500])], "doc_id bigint, harmful int")
+    model = harm.fit(docs, marks)
+    found = np.array(model.score(texts[1000:])) > model.threshold
+    truth = np.arange(1000, 1500) % 20 == 0
+    assert found[truth].all()
+    assert found[~truth].mean() < 0.05
