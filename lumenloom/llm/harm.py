@@ -36,7 +36,7 @@ COST, SURE = 8.0, 12.0
 LEAST_COUNT = 30.0
 #: Share of all documents in which a form of line occurs before it can count as surely harmless.
 FREQUENT = 0.01
-#: A form whose share of the harmful documents is so many times that of the harmless ones speaks for harm.
+#: A form in five or more harmful documents whose share of them is so many times that of the harmless ones speaks for harm.
 TELLING = 2.0
 #: A feature's table size (a power of two).
 TABLE = 1 << 16
@@ -379,7 +379,7 @@ def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] =
         n_clean, n_bad, n_seen = len(clean_documents), len(bad_documents), len(clean_documents) + len(known_others)
         in_clean = Counter(form for document in clean_documents for form in signatures(document))
         in_bad = Counter(form for document in bad_documents for form in signatures(document))
-        telling = {form for form, n in in_bad.items() if n > 1 and n / n_bad > TELLING * (in_clean[form] + 1) / (n_clean + 1)}
+        telling = {form for form, n in in_bad.items() if n >= 5 and n / n_bad > TELLING * (in_clean[form] + 1) / (n_clean + 1)}
 
         def surely_harmless(form: str) -> bool:
             share = len(seen[form]) / n_seen if shares is None else shares.get(form_number(form), 0.0)
