@@ -1,54 +1,45 @@
 """Abusive, hateful and sexual content: a subsequence-kernel SVM with Nystroem landmarks.
 
-Two lines are similar if they share characters in the same order, whether
-adjacent or with gaps: a feature is a tuple of characters, found at several
-spacings, each spacing with its weight, so inserted, masked and spaced-out
-letters leave most features in place. The kernel is the normalised dot product
-of the (hashed) feature counts. An SVM is trained on labelled lines in the space
-of landmark lines; as the kernel is a dot product, its weights fold back into one
-table of feature weights, and scoring a corpus is a vectorised look-up.
+Two lines are similar if they share characters in the same order, adjacent or
+with others between them. The kernel is the gap-weighted subsequence kernel:
+every subsequence of LENGTH characters within a window of SPAN is a feature, and
+each of its occurrences counts DECAY for every character left out, so inserted,
+masked and spaced-out letters leave most features in place. An SVM is trained on
+labelled lines in the space of landmark lines; as the kernel is a dot product,
+its weights fold back into one table of feature weights, and scoring a corpus is
+a vectorised look-up instead of a kernel value per landmark.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Mapping, Sequence
-from hashlib import blake2b
-from itertools import chain
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.seeds import HARMFUL, HARMLESS
 
-#: Labelled documents of each class, and other documents, from which lines are learned (bounded samples, by hash of the id).
-MOST_LABELLED, MOST_OTHERS = 1_500, 1_500
-#: Lines learned from of each kind, landmarks, passes over the lines.
-MOST_LINES, LANDMARKS, ROUNDS = 4_000, 640, 3
-#: Weight of a harmful document's likeliest line while it doesn't score as harmful; a tenth of that if it scores below LIKELY.
-GUESS, LIKELY = 0.3, -0.5
-#: Cost of a violated margin, and how many times that of lines whose label is sure.
-COST, SURE = 8.0, 12.0
-#: Squared weights of features below which a line's length isn't taken as less, so that a few letters prove nothing.
-LEAST_COUNT = 30.0
-#: Share of all documents in which a form of line occurs before it can count as surely harmless.
-FREQUENT = 0.01
-#: A form in five or more harmful documents whose share of them is so many times that of the harmless ones speaks for harm.
-TELLING = 2.0
-#: A feature's table size (a power of two).
-TABLE = 1 << 16
-#: Spacings at which the characters of a feature are taken, and their weights.
-SPACINGS = (
-    ((0, 1, 2, 3), 1.0),
-    ((0, 2, 3, 4), 0.5),
-    ((0, 1, 3, 4), 0.5),
-    ((0, 1, 2, 4), 0.5),
-    ((0, 2, 4, 6), 0.5),
-    ((0, 1, 2, 3, 4, 5), 1.0),
-)
+#: Labelled documents of each class from which lines are learned (a bounded sample, by hash of the id); their whole texts are read.
+MOST_LABELLED = 5_000
+#: Landmark lines, the harmless lines among them that score highest, and passes over the labels.
+LANDMARKS, HARD, ROUNDS = 640, 160, 4
+#: Harmless forms that the SVM holds at a time: those that score highest of all, and as many others.
+ACTIVE = 2_000
+#: Cost of a violated margin, regularisation of the first fit, and the most documents of a form that count.
+COST, RIDGE, MOST_COUNTED = 4.0, 0.3, 10.0
+#: Length of a subsequence, the window it must lie in, and the weight of a gap of one character.
+LENGTH, SPAN, DECAY = 4, 7, 0.6
+#: Offsets of a feature's characters, and their weights.
+OFFSETS = [((0, *rest), DECAY ** (rest[-1] - LENGTH + 1)) for rest in combinations(range(1, SPAN), LENGTH - 1)]
+#: Positions below which a line's length isn't taken as less, so that a few letters prove nothing.
+LEAST_POSITIONS = 20.0
+#: Slots of the table of feature weights (a power of two), and positions that are looked up together.
+SLOTS, CHUNK = 1 << 20, 1 << 13
 #: Longest line that is scored as a whole; longer ones are cut into stretches that overlap by half.
 LINE, STRETCH = 120, 72
 
@@ -139,91 +130,125 @@ def characters(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], offsets
 
 
-def _hashes(codes: np.ndarray, spacing: tuple[int, ...]) -> np.ndarray:
-    """The feature number at every position from which the spacing fits."""
-    n = len(codes) - spacing[-1]
-    mixed = np.zeros(max(n, 0), np.uint32)
+def _position_tables() -> list[np.ndarray]:
+    """For every place in a feature, a pseudorandom slot number of every character; a feature's slot is their exclusive or."""
+    tables = []
     with np.errstate(over="ignore"):
-        for step in spacing if n > 0 else ():
-            mixed *= np.uint32(0x01000193)
-            mixed += codes[step : step + n]
-            mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0x85EBCA6B)
-        mixed ^= mixed >> np.uint32(13)
-    return mixed & np.uint32(TABLE - 1)
+        for place in range(LENGTH):
+            x = np.arange(0x110000, dtype=np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (place + 1)) & (2**64 - 1))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            tables.append(((x ^ (x >> np.uint64(31))) & np.uint64(SLOTS - 1)).astype(np.int32))
+    return tables
+
+
+_PLACES = _position_tables()
+
+
+def _slots(codes: np.ndarray, remaining: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """For each kind of gaps: its weight, the slot of the feature at every position, and whether it ends inside the line."""
+    places = [table[codes] for table in _PLACES]
+    for offsets, weight in OFFSETS:
+        n = len(codes) - offsets[-1]
+        if n <= 0:
+            continue
+        slot = places[0][:n] ^ places[1][offsets[1] : offsets[1] + n]
+        for k in range(2, LENGTH):
+            slot ^= places[k][offsets[k] : offsets[k] + n]
+        yield weight, slot, remaining[:n] > offsets[-1]
+
+
+def _lengths(offsets: np.ndarray) -> np.ndarray:
+    """The root of the sum of squared weights of each line's features, by which kernel values are scaled."""
+    length = np.diff(offsets)
+    count = sum(w * w * np.maximum(length - o[-1], 0) for o, w in OFFSETS)
+    return np.sqrt(np.maximum(count, LEAST_POSITIONS * sum(w * w for _, w in OFFSETS)))
+
+
+def _remaining(offsets: np.ndarray) -> np.ndarray:
+    """At every position, how many characters its line still has, the one there included; at most 255."""
+    length = np.diff(offsets)
+    return np.minimum(np.repeat(offsets[1:], length) - np.arange(offsets[-1]), 255).astype(np.uint8)
+
+
+def line_scores(lines: Sequence[str], table: np.ndarray) -> np.ndarray:
+    """Every line's scaled dot product with a table of feature weights, a chunk of positions at a time."""
+    codes, offsets = characters(lines)
+    remaining = _remaining(offsets)
+    total = np.zeros(len(codes), np.float32)
+    for at in range(0, len(codes), CHUNK):
+        own = total[at : at + CHUNK]
+        for weight, slot, inside in _slots(codes[at : at + CHUNK + SPAN], remaining[at : at + CHUNK + SPAN]):
+            n = min(len(own), len(slot))
+            value = table[slot[:n]]
+            value *= np.float32(weight)
+            value *= inside[:n]
+            own[:n] += value
+    sums = np.zeros(len(codes) + 1)
+    np.cumsum(total, dtype=np.float64, out=sums[1:])
+    return (sums[offsets[1:]] - sums[offsets[:-1]]) / _lengths(offsets)
 
 
 class Features:
-    """Of many lines the feature numbers and their values, scaled as in `line_scores` and by the features' rarity among the lines."""
+    """The features of many lines: slots and scaled values, weighted by the features' rarity among the lines."""
 
     def __init__(self, lines: Sequence[str]) -> None:
         codes, offsets = characters(lines)
-        keys, weights = [], []
-        owner = np.repeat(np.arange(len(lines), dtype=np.int64), np.diff(offsets))
-        for spacing, weight in SPACINGS:
-            hashed = _hashes(codes, spacing)
-            n = len(hashed)
-            inside = owner[:n] == owner[spacing[-1] : spacing[-1] + n]
-            keys.append(owner[:n][inside] * TABLE + hashed[inside])
-            weights.append(np.full(len(keys[-1]), weight, np.float32))
-        unique, where = np.unique(np.concatenate(keys), return_inverse=True)
-        values = np.bincount(where, np.concatenate(weights), len(unique))
-        line = unique // TABLE
+        remaining = _remaining(offsets)
+        slots, values, at = [], [], []
+        for weight, slot, inside in _slots(codes, remaining):
+            where = np.flatnonzero(inside)
+            slots.append(slot[where])
+            values.append(np.full(len(where), weight, np.float32))
+            at.append(where.astype(np.int32))
+        position = np.concatenate(at)
+        order = np.argsort(position, kind="stable")
         self.n = len(lines)
-        self.number = (unique % TABLE).astype(np.int64)
-        self.begin = np.searchsorted(line, np.arange(len(lines) + 1))
-        count = sum(w * w * np.maximum(np.diff(offsets) - spacing[-1], 0) for spacing, w in SPACINGS)
-        lines_with = np.bincount(self.number, minlength=TABLE)
-        self.rarity = np.clip(np.log(self.n / np.maximum(1, lines_with)) / np.log(max(2, self.n)), 0.1, 1.0).astype(np.float32)
-        self.value = (values / np.sqrt(np.maximum(count, LEAST_COUNT))[line]).astype(np.float32) * self.rarity[self.number]
-
-    def basis(self, marks: np.ndarray) -> np.ndarray:
-        """The marked lines as the columns of a dense table."""
-        out = np.zeros((TABLE, len(marks)), np.float32)
-        for j, i in enumerate(marks):
-            a, b = self.begin[i], self.begin[i + 1]
-            out[self.number[a:b], j] = self.value[a:b]
-        return out
-
-    def kernel(self, rows: np.ndarray, marks: np.ndarray, block: int = 256) -> np.ndarray:
-        """The dot products of some lines with the marked ones, worked out for a block of marks at a time."""
-        out = np.zeros((len(rows), len(marks)), np.float32)
+        self.slot = np.concatenate(slots)[order]
+        self.begin = np.searchsorted(position[order], offsets)
+        seen = np.maximum(1, np.bincount(self.slot, minlength=SLOTS))
+        self.rarity = np.clip(np.log(self.n / seen) / np.log(max(2, self.n)), 0.1, 1.0).astype(np.float32)
+        scale = np.repeat(_lengths(offsets), np.diff(self.begin)).astype(np.float32)
+        self.value = np.concatenate(values)[order] * self.rarity[self.slot] / scale
+
+    def kernel(self, marks: np.ndarray, block: int = 128) -> np.ndarray:
+        """Kernel values of all lines with the marked ones, a block of marks at a time; features of no mark are passed over."""
+        of = [slice(self.begin[i], self.begin[i + 1]) for i in range(self.n)]
+        used = np.unique(np.concatenate([self.slot[of[i]] for i in marks]))
+        number = np.zeros(SLOTS, np.int32)
+        number[used] = np.arange(1, len(used) + 1)
+        known = number[self.slot]
+        rows = []
+        for own in of:
+            kept = known[own] > 0
+            rows.append((known[own][kept], self.value[own][kept]))
+        out = np.zeros((self.n, len(marks)), np.float32)
         for at in range(0, len(marks), block):
-            basis = self.basis(marks[at : at + block])
-            for k, i in enumerate(rows):
-                a, b = self.begin[i], self.begin[i + 1]
-                out[k, at : at + block] = self.value[a:b] @ basis[self.number[a:b]]
+            basis = np.zeros((len(used) + 1, len(marks[at : at + block])), np.float32)
+            for j, i in enumerate(marks[at : at + block]):
+                np.add.at(basis[:, j], known[of[i]], self.value[of[i]])
+            for i, (features, values) in enumerate(rows):
+                out[i, at : at + block] = values @ basis[features]
         return out
 
-    def scores(self, table: np.ndarray) -> np.ndarray:
-        """Every line's dot product with a table of feature weights."""
-        sums = np.concatenate([[0.0], np.cumsum(self.value * table[self.number], dtype=np.float64)])
-        return sums[self.begin[1:]] - sums[self.begin[:-1]]
-
-
-def line_scores(lines: Sequence[str], table: np.ndarray) -> np.ndarray:
-    """Weighted features of each line over the root of their number, without making them explicit."""
-    codes, offsets = characters(lines)
-    begins, ends = offsets[:-1], offsets[1:]
-    total = np.zeros(len(lines), np.float64)
-    count = np.zeros(len(lines), np.float64)
-    for spacing, weight in SPACINGS:
-        values = table[_hashes(codes, spacing)]
-        if not len(values):
-            continue
-        last = np.maximum(begins, ends - spacing[-1])
-        sums = np.zeros(len(values) + 1, np.float64)
-        np.cumsum(values, out=sums[1:])
-        total += weight * (sums[np.minimum(last, len(values))] - sums[np.minimum(begins, len(values))])
-        count += weight * weight * (last - begins)
-    return total / np.sqrt(np.maximum(count, LEAST_COUNT))
+    def fold(self, marks: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        """The table of feature weights that stands for the marks with the weights `alpha`."""
+        table = np.zeros(SLOTS)
+        for i, a in zip(marks, alpha):
+            own = slice(self.begin[i], self.begin[i + 1])
+            np.add.at(table, self.slot[own], a * self.value[own])
+        return (table * self.rarity).astype(np.float32)
 
 
 class Model:
-    """Feature weights and the threshold from which a line counts as harmful."""
+    """Feature weights and the bias; a line scores above 0 if it lies on the harmful side of the margin's middle."""
 
-    def __init__(self, table: np.ndarray, bias: float, threshold: float) -> None:
-        self.table, self.bias, self.threshold = table, bias, threshold
+    def __init__(self, table: np.ndarray, bias: float) -> None:
+        self.table, self.bias = table, bias
+
+    def lines(self, lines: Sequence[str]) -> np.ndarray:
+        """Every line's score."""
+        return line_scores(lines, self.table) + self.bias if len(lines) else np.zeros(0)
 
     def score(self, texts: Iterable[str | None]) -> list[float]:
         """The highest score of a text's lines; the lowest possible, -9, for a text without any."""
@@ -232,17 +257,24 @@ class Model:
         for text in texts:
             all_lines.extend(lines_of(text) if text else ())
             ends.append(len(all_lines))
-        scores = line_scores(all_lines, self.table) + self.bias if all_lines else np.zeros(0)
+        scores = np.maximum(self.lines(all_lines), -9.0)
         return [float(scores[a:b].max()) if b > a else -9.0 for a, b in zip(ends, ends[1:])]
 
 
-def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Linear SVM with squared hinge loss by Newton steps over the violated margins; z ends with a constant column."""
+def _ridge(z: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted least squares with a penalty on the weights."""
+    return np.linalg.solve(np.eye(z.shape[1]) * RIDGE + (z * weight[:, None]).T @ z, z.T @ (weight * target))
+
+
+def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Linear SVM with squared hinge loss by Newton steps over the violated margins; z ends with a constant column, hardly penalised."""
     w = np.zeros(z.shape[1])
+    penalty = np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-3
     violated = np.ones(len(y), bool)
     for _ in range(rounds):
         zv, c = z[violated], cost[violated]
-        w = np.linalg.solve(np.eye(z.shape[1]) + 2 * (zv * c[:, None]).T @ zv, 2 * zv.T @ (c * y[violated]))
+        w = np.linalg.solve(penalty + 2 * (zv * c[:, None]).T @ zv, 2 * zv.T @ (c * y[violated]))
         now = y * (z @ w) < 1
         if (now == violated).all():
             break
@@ -250,29 +282,6 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> np
     return w
 
 
-def _fold(pool: Features, rows: np.ndarray, y: np.ndarray, importance: np.ndarray, scores: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
-    """Trains on lines of the pool and returns the feature weights and the bias.
-
-    Landmarks are harmful lines, the harmless ones that score highest so far, and other harmless ones.
-    """
-    random = np.random.default_rng(seed)
-    bad, good = random.permutation(rows[y > 0]), random.permutation(rows[y < 0])
-    hard = good[np.argsort(-scores[good], kind="stable")][: LANDMARKS // 4]
-    marks = np.unique(np.concatenate([bad[: LANDMARKS // 2], hard, good[: LANDMARKS // 4]]))
-    eigen, vectors = np.linalg.eigh(pool.kernel(marks, marks).astype(np.float64))
-    kept = eigen > 1e-3
-    root = vectors[:, kept] / np.sqrt(eigen[kept])
-    z = np.hstack([pool.kernel(rows, marks) @ root, np.ones((len(rows), 1))])
-    share = (y > 0).mean()
-    w = _svm(z, y, np.where(y > 0, (1 - share) ** 0.25, share ** 0.25) * importance * COST)
-    alpha = root @ w[:-1]
-    table = np.zeros(TABLE)
-    for j, i in enumerate(marks):
-        a, b = pool.begin[i], pool.begin[i + 1]
-        table[pool.number[a:b]] += alpha[j] * pool.value[a:b]
-    return table.astype(np.float32), float(w[-1])
-
-
 _LEAD = re.compile(r"^[^,.!?\n]{2,28}, ", re.M)
 _NUMBER, _NAME = re.compile(r"\d+"), re.compile(r"(?<!^)\b[A-Z]\w+(?: [A-Z]\w+)*", re.M)
 
@@ -282,138 +291,113 @@ def signature(line: str) -> str:
     return _NAME.sub("N", _NUMBER.sub("0", _LEAD.sub("", line))).strip().lower()
 
 
-def signatures(lines: Sequence[str]) -> set[str]:
-    """The signatures of lines, worked out at once; none of `lines_of` holds a line feed."""
-    return set(map(str.strip, _NAME.sub("N", _NUMBER.sub("0", _LEAD.sub("", "\n".join(lines)))).lower().split("\n"))) if lines else set()
-
-
-def form_number(form: str) -> int:
-    """A signature as a number that is the same in every process."""
-    return int.from_bytes(blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def form_counts(documents: DataFrame, most: int = 200_000) -> DataFrame:
-    """form, n: in how many documents each form of line occurs, over whole texts of all documents, added up in a task for `most` forms at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(map(form_number, counts), pa.int64()), pa.array(counts.values(), pa.int64())], ["form", "n"])
-            counts.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(signatures(lines_of(text.as_py())))
-                if len(counts) >= most:
-                    yield out()
-        yield out()
-
-    return documents.where("text <> ''").select("text").mapInArrow(run, "form bigint, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
-
-
-def _learn(bags: list[list[str]], sure: Sequence[str], clean: Sequence[str], others: Sequence[str], seed: int) -> tuple[np.ndarray, float]:
-    """Feature weights and bias from bags of which most hold a harmful line, surely harmless lines, lines of harmless documents, and lines of which few are harmful."""
-    lines = [*HARMFUL, *HARMLESS, *sure, *clean, *others, *(x for bag in bags for x in bag)]
-    pool = Features(lines)
-    a = len(HARMFUL)
-    b = a + len(HARMLESS) + len(sure)
-    c, d = b + len(clean), b + len(clean) + len(others)
-    bag_of = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
-    y = np.zeros(len(lines))
-    y[:a], y[a:d] = 1, -1
-    importance = np.ones(len(lines))
-    importance[:b] = SURE
-    table, bias, s = np.zeros(TABLE, np.float32), 0.0, np.zeros(len(lines))
-    e = a + len(HARMLESS)
-    for turn in range(ROUNDS):
-        rows = np.flatnonzero(y)
-        table, bias = _fold(pool, rows, y[rows], importance[rows], s, seed + turn)
-        s = pool.scores(table) + bias
-        y[e:b] = np.where(s[e:b] < 0.4, -1, 0)
-        y[b:c] = np.where(s[b:c] < 0.4, -1, 0)
-        y[c:d] = np.where(s[c:d] < 0.0, -1, np.where(s[c:d] > 0.5, 1, 0))
-        own = s[d:]
-        best = np.full(len(bags), -9.0)
-        np.maximum.at(best, bag_of, own)
-        first = own == best[bag_of]
-        y[d:] = np.where((own > 0.1) | first, 1, np.where(own < -0.4, -1, 0))
-        importance[d:] = np.where(own > 0.1, 1.0, np.where(first & (own > LIKELY), GUESS, 0.1 * GUESS))
-    return table * pool.rarity, bias
-
-
-def train(texts: Sequence[str], harmful: Sequence[bool], others: Sequence[str] = (), seed: int = 5, shares: Mapping[int, float] | None = None) -> Model:
-    """Learns from documents labelled as a whole, from unlabelled ones, and from the labelled lines of `seeds`.
-
-    Which lines make a document harmful isn't known, so it is learned too: in
-    every round a harmful document's likeliest line stands for it, with a small
-    weight until it scores as harmful; its other lines, and those of unlabelled
-    documents, follow their score; lines of harmless documents that score as
-    harmful are left out as probable labelling errors. The seeds are sure and
-    weigh most, and so do forms of lines that many documents share (`shares`: of
-    form numbers the share of all documents; by default, of those given), if the
-    labels bear it out: a form must be about as common in harmless documents as
-    in all, and not more so in harmful ones. Forms that are stay in the harmful
-    documents, even if a harmless one has them. Sure lines but the seeds are left
-    out as well once they score as harmful.
-    The threshold is the one that separates labelled documents best that
-    a model trained on the others scores; without enough of both kinds it is 0.
+class _Lines:
+    """Forms of lines with an example of each, and in how many harmful and harmless documents they stand."""
+
+    def __init__(self, forms: Sequence[str], example: dict[str, str], bad: Counter[str], good: Counter[str], upweight: np.ndarray) -> None:
+        self.lines = [example[f] for f in forms] + list(HARMFUL) + list(HARMLESS)
+        self.n = len(forms)
+        known = np.arange(len(self.lines))
+        self.seed_bad = (known >= self.n) & (known < self.n + len(HARMFUL))
+        self.seed_good = known >= self.n + len(HARMFUL)
+        self.bad = np.concatenate([[bad[f] for f in forms], np.ones(len(HARMFUL)), np.zeros(len(HARMLESS))])
+        self.good = np.concatenate([[good[f] for f in forms], np.zeros(len(HARMFUL)), np.ones(len(HARMLESS))])
+        self.upweight = np.concatenate([upweight, np.ones(len(HARMFUL) + len(HARMLESS))])
+
+    def project(self, marks: np.ndarray) -> tuple[Features, np.ndarray, np.ndarray]:
+        """Features, the map from kernel values with the marks to landmark space, and all lines there with a constant."""
+        features = Features(self.lines)
+        kernel = features.kernel(marks)
+        eigen, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
+        kept = eigen > 1e-3
+        root = vectors[:, kept] / np.sqrt(eigen[kept])
+        return features, root, np.hstack([kernel @ root, np.ones((len(self.lines), 1))])
+
+    def first_fit(self, z: np.ndarray, balance: float) -> np.ndarray:
+        """Weights by which a form scores the nearer to 1 the larger the share of harmful documents among its documents."""
+        bad, good = balance * np.minimum(self.bad, MOST_COUNTED), np.minimum(self.good, MOST_COUNTED)
+        return _ridge(z, (bad - good) / (bad + good), (bad + good) * self.upweight)
+
+
+def train(texts: Sequence[str], harmful: Sequence[bool], seed: int = 5) -> Model:
+    """Learns from documents labelled as a whole, and from the labelled lines of `seeds`, each of which weighs as one label.
+
+    Which lines make a document harmful isn't known, so it is learned too. Lines
+    are taken together by their form (`signature`), and each form has its number
+    of harmful and of harmless documents. A first fit predicts their shares: what
+    both kinds share scores low however many harmful documents have it, and what
+    resembles lines of several harmful documents and of no harmless one scores
+    high. Then, in rounds, an SVM is trained: forms that more harmful than
+    harmless documents hold and that score above the middle are harmful, forms
+    that at least as many harmless ones hold and forms that score clearly below
+    are harmless, the rest and rare harmless forms that score as harmful (probable
+    errors of labelling) are left out.
+
+    A margin's violations decide an SVM, so of the harmless forms those that
+    score highest among all are trained on, and others, weighted up, at random.
+    Landmarks are the lines of harmful documents that score highest, and the
+    hardest harmless ones. The middle of the margin, score 0, is the threshold:
+    labels are on a sample richer in harmful documents than the corpus, so no
+    threshold is fitted to their rate. Without labels the seeds alone are learned.
     """
-    harmful = np.array(harmful, bool)
-    per_document = [list(dict.fromkeys(lines_of(t))) for t in texts]
     random = np.random.default_rng(seed)
-
-    known_others = [list(dict.fromkeys(lines_of(t))) for t in dict.fromkeys(others)]
-
-    def pick(lines: list[str], most: int = MOST_LINES) -> list[str]:
-        return [lines[k] for k in random.permutation(len(lines))[:most]]
-
-    def model(chosen: np.ndarray) -> tuple[np.ndarray, float]:
-        clean_documents = [per_document[i] for i in dict.fromkeys(chosen) if not harmful[i]]
-        bad_documents = [per_document[i] for i in dict.fromkeys(chosen) if harmful[i]]
-        seen: dict[str, list[str]] = {}
-        for document in chain(clean_documents, known_others):
-            for form, line in {signature(x): x for x in document}.items():
-                seen.setdefault(form, []).append(line)
-        n_clean, n_bad, n_seen = len(clean_documents), len(bad_documents), len(clean_documents) + len(known_others)
-        in_clean = Counter(form for document in clean_documents for form in signatures(document))
-        in_bad = Counter(form for document in bad_documents for form in signatures(document))
-        telling = {form for form, n in in_bad.items() if n >= 5 and n / n_bad > TELLING * (in_clean[form] + 1) / (n_clean + 1)}
-
-        def surely_harmless(form: str) -> bool:
-            share = len(seen[form]) / n_seen if shares is None else shares.get(form_number(form), 0.0)
-            if share < FREQUENT or len(seen[form]) < 5 and shares is None:
-                return False
-            return form not in telling and in_clean[form] >= max(1, share * n_clean / 2)
-
-        sure = sorted(filter(surely_harmless, seen), key=lambda form: (-len(seen[form]), form))
-        variants = [list(dict.fromkeys(seen[form]))[:8] for form in sure]
-        frequent = [lines[k] for k in range(8) for lines in variants if k < len(lines)][:MOST_LINES]
-        whole = "\n".join(sure)  # pieces of sure forms, as of texts cut short, are harmless as well
-        clean = {form: x for document in clean_documents for x in document if (form := signature(x)) not in telling and form not in whole}
-        rest = {form: x for document in known_others for x in document if (form := signature(x)) not in clean and (form in telling or form not in whole)}
-        bags = [[x for x in per_document[i] if (form := signature(x)) in telling or form not in whole and form not in clean] for i in chosen if harmful[i]]
-        return _learn([bag for bag in bags if bag], frequent, pick(list(clean.values())), pick(list(rest.values())), seed)
-
-    everyone = random.permutation(len(texts))
-    table, bias = model(everyone)
-    threshold = 0.0
-    if harmful.sum() >= 10 and (~harmful).sum() >= 10:
-        held = everyone[: len(everyone) // 2]
-        t, b = model(everyone[len(everyone) // 2 :])
-        scores = np.array(Model(t, b, 0.0).score([texts[i] for i in held]))
-        bad = harmful[held]
-        tried = np.linspace(-0.3, 0.4, 36)
-        hits = np.array([(scores[bad] > t).sum() for t in tried])
-        false = np.array([(scores[~bad] > t).sum() for t in tried])
-        f1 = 2 * hits / np.maximum(1, hits + false + bad.sum())
-        threshold = float(np.median(tried[f1 >= f1.max() - 1e-9]))
-    return Model(table, bias, threshold)
+    bad: Counter[str] = Counter()
+    good: Counter[str] = Counter()
+    example: dict[str, str] = {}
+    n_bad = n_good = 0
+    for text, is_bad in zip(texts, harmful):
+        forms = {signature(x): x for x in lines_of(text)}
+        (bad if is_bad else good).update(forms.keys())
+        n_bad, n_good = n_bad + bool(is_bad), n_good + (not is_bad)
+        for form, line in forms.items():
+            if is_bad or form not in example:
+                example[form] = line
+    balance = max(1.0, n_good / max(1, n_bad) / 3)
+    told, others = list(bad), [f for f in good if f not in bad]
+
+    def chosen(hardest: list[str], rest: list[str], most: int) -> tuple[list[str], np.ndarray]:
+        some = [rest[k] for k in random.permutation(len(rest))[:most]]
+        more = len(rest) / max(1, len(some))
+        return told + hardest + some, np.concatenate([np.ones(len(told) + len(hardest)), np.full(len(some), more)])
+
+    # First pass: common harmless forms and some others.
+    others.sort(key=lambda f: -good[f])
+    forms, upweight = chosen(others[:ACTIVE // 4], others[ACTIVE // 4 :], ACTIVE)
+    lines = _Lines(forms, example, bad, good, upweight)
+    n = len(told)
+    likely = np.argsort(-(lines.bad[:n] - lines.good[:n] / 10 + random.random(n) / 2), kind="stable")
+    rest = n + random.permutation(len(forms) - n)
+    seeds = lines.n + random.permutation(len(lines.lines) - lines.n)
+    marks = np.unique(np.concatenate([likely[: LANDMARKS // 2], rest[:HARD], seeds[:64]])).astype(np.int64)
+    features, root, z = lines.project(marks)
+    w = lines.first_fit(z, balance)
+    model = Model(features.fold(marks, root @ w[:-1]), float(w[-1]))
+
+    # Second pass: the hardest of all harmless forms, and landmarks that matter.
+    order = np.argsort(-model.lines([example[f] for f in others]), kind="stable")
+    ranked = [others[k] for k in order]
+    forms, upweight = chosen(ranked[:ACTIVE], ranked[ACTIVE:], ACTIVE)
+    lines = _Lines(forms, example, bad, good, upweight)
+    likely = np.argsort(-model.lines(lines.lines[:n]), kind="stable")
+    rest = n + ACTIVE + random.permutation(max(0, len(forms) - n - ACTIVE))
+    seeds = lines.n + random.permutation(len(lines.lines) - lines.n)
+    hardest = np.arange(n, min(n + HARD, len(forms)))
+    marks = np.unique(np.concatenate([likely[: LANDMARKS * 2 // 3], hardest, rest[:64], seeds[:64]])).astype(np.int64)
+    features, root, z = lines.project(marks)
+    w = lines.first_fit(z, balance)
+    for turn in range(ROUNDS):
+        s = z @ w
+        is_bad = (lines.bad > lines.good) & (s > (-0.1 if turn == 0 else 0.0)) & ~lines.seed_good | lines.seed_bad
+        is_good = (s < -0.2) | (lines.good >= np.maximum(lines.bad, 1)) & ~((lines.good <= 2) & (s > 0.5))
+        y = np.where(is_bad, 1.0, np.where(is_good | lines.seed_good, -1.0, 0.0))
+        weight = np.where(is_bad, np.minimum(lines.bad, 4.0), np.sqrt(np.minimum(lines.good + lines.bad, MOST_COUNTED)))
+        rows = np.flatnonzero(y)
+        w = _svm(z[rows], y[rows], COST * weight[rows])
+    return Model(features.fold(marks, root @ w[:-1]), float(w[-1]))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """text, harmful of at most `most` documents of each class, picked by a hash of their id.
+    """doc_id, text, harmful of at most `most` documents of each class, picked by a hash of their id (two top-n, no sorted group).
 
     Null labels are left out, and so are documents whose labels disagree, and null and empty texts.
     """
@@ -421,42 +405,32 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LA
         labels.where("harmful is not null and doc_id is not null").groupBy("doc_id")
         .agg(F.min("harmful").alias("harmful"), F.max("harmful").alias("other")).where("harmful = other").drop("other")
     )
-    order = Window.partitionBy("harmful").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = agreed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("doc_id", "harmful")
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", (F.col("harmful") == 1).alias("harmful"))
+    few = [agreed.where(F.col("harmful") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for value in (0, 1)]
+    picked = few[0].union(few[1])
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text <> ''").select("doc_id", "text", (F.col("harmful") == 1).alias("harmful"))
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """A model trained on the driver from bounded samples: 2 * MOST_LABELLED labelled texts and MOST_OTHERS others.
-
-    Whole texts are read. Which forms of lines are frequent is counted over all documents; only those
-    at or above FREQUENT reach the driver, at most a document's mean number of
-    lines over FREQUENT.
-    """
-    rows = labelled_sample(documents, labels).limit(2 * MOST_LABELLED).collect()
-    # The documents of lowest hash; the bound on the hash keeps a task from sorting more than a few of them.
-    total = documents.count()
-    low = F.xxhash64("doc_id") < int(-(2**63) + min(1.0, 3 * MOST_OTHERS / max(1, total)) * (2**64 - 2**11))
-    others = documents.where(low & (F.col("text") != "")).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(MOST_OTHERS).collect()
-    frequent = form_counts(documents).where(F.col("n") >= max(5, FREQUENT * total)).collect()
-    return train([r.text for r in rows], [r.harmful for r in rows], [r.text for r in others], shares={r.form: r.n / total for r in frequent})
+def fit(documents: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
+    """A model trained on the driver from a bounded sample of labelled documents: at most MOST_LABELLED of each class, whole texts of them."""
+    rows = sorted(labelled_sample(documents, labels).collect(), key=lambda r: r.doc_id)
+    return train([r.text for r in rows], [r.harmful for r in rows], seed)
 
 
 def score_corpus(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, source, score, harmful of every document.
 
-    The score is that of the most harmful line, above the threshold: harmful is
-    score > 0. Null, empty and blank texts score -9. Whole texts are scored;
-    there is no shuffle, and the model (a table of fixed size) is broadcast.
+    The score is that of the most harmful line; harmful is score > 0. Null,
+    empty and blank texts score -9. Whole texts are scored; there is no shuffle,
+    and the model (a table of fixed size) is broadcast.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                scores = np.array(own.score(part.column(2).to_pylist())) - own.threshold
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                scores = np.array(own.score(part.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array(scores > 0)], ["doc_id", "source", "score", "harmful"])
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, score double, harmful boolean")

@@ -1,7 +1,7 @@
 """Labelled lines for training the filter of harmful content, written for it by hand.
 
-They only start the learning where a corpus brings few labels; labelled
-documents outweigh them. Some are offensive by purpose.
+They only start the learning where a corpus brings few labels; each weighs as
+much as one labelled document. Some are offensive by purpose.
 """
 
 HARMFUL = (

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -27,12 +28,12 @@ def corpus():
 @pytest.fixture(scope="module")
 def model(corpus):
     texts, labels = corpus
-    return harm.train(texts[:250], labels[:250], texts[250:300])
+    return harm.train(texts[:250], labels[:250])
 
 
 def test_held_out_accuracy(corpus, model):
     texts, labels = corpus
-    found = np.array(model.score(texts[300:])) > model.threshold
+    found = np.array(model.score(texts[300:])) > 0
     truth = np.array(labels[300:])
     assert (found & truth).sum() / truth.sum() > 0.85
     assert (found & ~truth).sum() / (~truth).sum() < 0.05
@@ -40,7 +41,7 @@ def test_held_out_accuracy(corpus, model):
 
 def test_other_spellings(model):
     texts = ["Shut your mouth, you filthy mor0n.", "SHUT YOUR MOUTH, YOU FILTHY MORRRRRON.", "Shut your mouth, you filthy id*ot.", "Shut your mouth, you fil-\nthy idiot.", "Shut your mouth, you fіlthy idіot."]
-    assert all(s > model.threshold for s in model.score(texts))
+    assert all(s > 0 for s in model.score(texts))
 
 
 def test_folding_equals_the_kernel(corpus):
@@ -48,13 +49,46 @@ def test_folding_equals_the_kernel(corpus):
     pool = harm.Features(lines)
     rows = np.arange(len(lines))
     weights = np.linspace(-1, 1, len(lines))
-    table = np.zeros(harm.TABLE)
-    for i, w in zip(rows, weights):
-        a, b = pool.begin[i], pool.begin[i + 1]
-        table[pool.number[a:b]] += w * pool.value[a:b]
-    direct = pool.kernel(rows, rows) @ weights
-    assert np.allclose(direct, pool.scores(table), atol=1e-4)
-    assert np.allclose(direct, harm.line_scores(lines, (table * pool.rarity).astype(np.float32)), atol=1e-3)
+    direct = pool.kernel(rows) @ weights
+    assert np.allclose(direct, harm.line_scores(lines, pool.fold(rows, weights)), atol=1e-3)
+
+
+def test_kernel_is_the_gap_weighted_one():
+    lines = ["you absolute fool", "y-o-u fo1ol", "abc", "abcd", "aXbXcXd", "completely different words"]
+    pool = harm.Features(lines)
+    codes, offsets = harm.characters(lines)
+
+    def subsequences(i):
+        own = codes[offsets[i] : offsets[i + 1]].tolist()
+        found = {}
+        for start in range(len(own)):
+            for rest in combinations(range(start + 1, min(len(own), start + harm.SPAN)), harm.LENGTH - 1):
+                key = (own[start], *(own[k] for k in rest))
+                found[key] = found.get(key, 0.0) + harm.DECAY ** (rest[-1] - start + 1 - harm.LENGTH)
+        return found
+
+    scale = harm._lengths(offsets)
+    every = [subsequences(i) for i in range(len(lines))]
+    occurrences = {}
+    for i in range(len(lines)):
+        own = codes[offsets[i] : offsets[i + 1]].tolist()
+        for start in range(len(own)):
+            for rest in combinations(range(start + 1, min(len(own), start + harm.SPAN)), harm.LENGTH - 1):
+                key = (own[start], *(own[k] for k in rest))
+                occurrences[key] = occurrences.get(key, 0) + 1
+    rarity = {k: min(1.0, max(0.1, np.log(len(lines) / n) / np.log(len(lines)))) for k, n in occurrences.items()}
+    want = [[sum(v * b.get(k, 0.0) * rarity[k] ** 2 for k, v in a.items()) / scale[i] / scale[j] for j, b in enumerate(every)] for i, a in enumerate(every)]
+    assert np.allclose(pool.kernel(np.arange(len(lines))), want, atol=1e-3)
+
+
+def test_inserted_letters(model):
+    assert all(s > 0 for s in model.score(["Shut your mouth, you f-i-l-t-h-y m o r o n.", "Shut your mouthh, you fillthy moroon."]))
+
+
+def test_seeds_of_the_random_choices_agree(corpus):
+    texts, labels = corpus
+    found = [{i for i, s in enumerate(harm.train(texts[:250], labels[:250], seed).score(texts[250:])) if s > 0} for seed in (1, 2, 3)]
+    assert all(len(a & found[0]) / len(a | found[0]) >= 0.95 for a in found[1:])
 
 
 def test_lines_and_edge_cases(model):
@@ -69,12 +103,12 @@ def test_lines_and_edge_cases(model):
 
 def test_insult_at_the_end_of_a_long_text(model):
     text = "See table 5 for the floor area. " * 3_000 + "You are a stupid moron."
-    assert model.score([text])[0] > model.threshold
+    assert model.score([text])[0] > 0
 
 
 def test_training_without_labels():
     model = harm.train([], [])
-    found = np.array(model.score([HARMFUL[0], HARMLESS[0]])) > model.threshold
+    found = np.array(model.score([HARMFUL[0], HARMLESS[0]])) > 0
     assert found.tolist() == [True, False]
 
 
@@ -109,31 +143,20 @@ def skewed():
 
 def test_a_frequent_harmful_form_is_learned(skewed):
     texts, labels = skewed
-    model = harm.train(texts[:500], labels[:500], texts[500:1000])
-    found = np.array(model.score(texts[1000:])) > model.threshold
+    model = harm.train(texts[:500], labels[:500])
+    found = np.array(model.score(texts[1000:])) > 0
     truth = np.arange(1000, 1500) % 20 == 0
     assert found[truth].all()
     assert found[~truth].mean() < 0.05
 
 
-def test_forms_are_counted_over_all_documents(spark, skewed):
-    texts = [*skewed[0][:300], None, "", " ", "Dear N, see 5.\nWell then, see 7 of Ward Nine.\nΑΣ 3", skewed[0][0]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    want = {}
-    for text in texts:
-        for form in {harm.signature(x) for x in harm.lines_of(text or "")}:
-            want[harm.form_number(form)] = want.get(harm.form_number(form), 0) + 1
-    for most in (200_000, 2):
-        assert {r.form: r.n for r in harm.form_counts(docs, most).collect()} == want
-
-
 def test_lines_late_in_long_texts_are_learned(spark, skewed):
     filler = "See table 5 for the floor area. " * 700
     texts = [filler + t for t in skewed[0][:1000]] + skewed[0][1000:]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:1000])], "doc_id bigint, text string")
     marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(skewed[1][:500])], "doc_id bigint, harmful int")
     model = harm.fit(docs, marks)
-    found = np.array(model.score(texts[1000:])) > model.threshold
+    found = np.array(model.score(texts[1000:])) > 0
     truth = np.arange(1000, 1500) % 20 == 0
     assert found[truth].all()
     assert found[~truth].mean() < 0.05
