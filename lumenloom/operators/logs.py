@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenloom.functions.samples import needs_rerun
 from lumenloom.functions.values import job_key
 
 
@@ -56,7 +57,25 @@ def job_matrix(rows: DataFrame, trials: int, file: str, row_index: str) -> DataF
 
 
 def classify_jobs(jobs: DataFrame, existing: DataFrame, key: str = "job_key", failed: Column | None = None) -> DataFrame:
-    """Jobs with state: missing (no sample yet), failed (to be run again) or reused."""
-    failed = F.size("failure_reasons") > 0 if failed is None else failed
+    """Jobs with state: missing (no sample yet), failed (to be run again) or reused.
+
+    Unless `failed` says otherwise, a sample has failed if it lists a reason, if
+    it failed critically, or if its map of scores tells a reason.
+    """
+    if failed is None:
+        has = lambda c: F.col(c) if c in existing.columns else None
+        told = has("score") if dict(existing.dtypes).get("score", "").startswith("map<") else None
+        failed = needs_rerun(F.col("failure_reasons"), has("critical_failure"), told)
     seen = existing.select(key, F.coalesce(failed, F.lit(False)).alias("_failed"))
     return jobs.join(seen, key, "left").withColumn("state", F.when(F.col("_failed").isNull(), "missing").when(F.col("_failed"), "failed").otherwise("reused")).drop("_failed")
+
+
+def identity_changes(before: DataFrame, now: DataFrame, item: str = "item", size: str = "n") -> DataFrame:
+    """What keeps a run from being resumed: items (files, trials) that are gone or hold less than before; growth is allowed.
+
+    Both sides have one row per item with its size. Result: item, before, now,
+    change (removed or shrunk). No row means that the run may go on.
+    """
+    a, b = before.select(F.col(item), F.col(size).alias("before")), now.select(F.col(item), F.col(size).alias("now"))
+    joined = a.join(b, a[item].eqNullSafe(b[item]), "left").select(a[item], "before", "now")
+    return joined.withColumn("change", F.when(F.col("now").isNull(), "removed").when(F.col("now") < F.col("before"), "shrunk")).where("change is not null")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenloom.functions.samples import failure_reasons
 from lumenloom.functions.text import failure_kind, first_line
 from lumenloom.functions.values import deviation, mean, share
 
@@ -46,28 +47,51 @@ def failure_summary(samples: DataFrame, key: str) -> DataFrame:
     )
 
 
-def sweep_per_trial(samples: DataFrame, trials: int, expected: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Per trial 0..trials-1, present or not: exported and missing samples, valid ratio, accuracy over valid and over expected samples.
+def _counts(samples: DataFrame) -> Column:
+    """Whether a sample counts in a sweep: it has a score, no listed reason of failure, and didn't fail critically."""
+    listed = F.col("failure_reasons") if "failure_reasons" in samples.columns else F.lit(None).cast("array<string>")
+    return F.col("score").isNotNull() & (F.size(failure_reasons(listed, F.col("critical_failure"), sweep=True)) == 0)
 
-    The trial dimension is generated, so a trial without rows still has its row. A sample is valid if it has a score and no reason to fail.
+
+def sweep_per_trial(samples: DataFrame, keys: Sequence[str] = (), trials: int | None = None, expected: int | None = None) -> DataFrame:
+    """Per trial, present or not: exported, missing and valid samples, valid ratio, accuracy over valid and over expected samples, means over valid ones.
+
+    A manifest's `trials` and `expected` (samples of a trial) are taken if given;
+    else there are as many trials as the highest trial_idx tells and each should
+    have as many samples as the largest has, found in the same pass over the
+    per-trial counts. The trial dimension is generated, so a trial without rows
+    still has its row. Null trial_idx counts as 0. A sample is valid if it has a
+    score and no reason to fail.
     """
-    valid = F.col("score").isNotNull() & ~F.coalesce("critical_failure", F.lit(False))
-    per = samples.groupBy(*keys, "trial_idx").agg(
+    rows = samples.withColumns({"_valid": _counts(samples), "trial_idx": F.coalesce("trial_idx", F.lit(0))})
+    valid = F.col("_valid")
+    per = rows.groupBy(*keys, "trial_idx").agg(
         F.count(F.lit(1)).alias("n_exported"), F.count_distinct("sample_index").alias("n_distinct"), F.count(F.when(valid, 1)).alias("n_valid"),
-        F.sum(F.when(valid, F.col("score"))).alias("score_sum"), mean(F.col("wall_time_s")).alias("wall_time_mean"),
+        F.sum(F.when(valid, F.col("score"))).alias("score_sum"), mean(F.when(valid, F.col("total_tokens"))).alias("seq_len_mean") if "total_tokens" in samples.columns else F.lit(None).cast("double").alias("seq_len_mean"),
+        mean(F.when(valid, F.col("wall_time_s"))).alias("wall_time_mean"),
     )
-    frame = samples.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial_idx"))
-    if keys:
-        groups = samples.select(*keys).distinct()
-        frame = groups.withColumn("trial_idx", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    bounds = per.groupBy(*keys).agg(
+        (F.lit(trials) if trials is not None else F.max("trial_idx") + 1).alias("_trials"), (F.lit(expected).cast("bigint") if expected is not None else F.max("n_exported")).alias("n_expected")
+    )
+    frame = bounds.select(*keys, "n_expected", F.explode(F.sequence(F.lit(0), F.col("_trials") - 1)).alias("trial_idx"))
     zero = lambda c: F.coalesce(c, F.lit(0))
+    whole = F.coalesce(F.when(F.col("n_expected") > 0, F.col("n_expected")), F.when(zero("n_exported") > 0, F.col("n_exported")), F.lit(1))
     return frame.join(per, [*keys, "trial_idx"], "left").select(
-        *keys, "trial_idx", zero("n_exported").alias("n_exported"), (F.lit(expected) - zero("n_distinct")).alias("n_missing"), zero("n_valid").alias("n_valid"),
-        share(zero("n_valid"), F.lit(expected)).alias("valid_ratio"), share(F.col("score_sum"), F.col("n_valid")).alias("accuracy_valid"),
-        share(F.coalesce("score_sum", F.lit(0.0)), F.lit(expected)).alias("accuracy_expected"), "wall_time_mean",
+        *keys, "trial_idx", "n_expected", zero("n_exported").alias("n_exported"), F.greatest(F.lit(0), F.col("n_expected") - zero("n_distinct")).alias("n_missing"), zero("n_valid").alias("n_valid"),
+        share(zero("n_valid"), whole).alias("valid_ratio"), share(F.col("score_sum"), F.col("n_valid")).alias("accuracy_valid"),
+        share(F.coalesce("score_sum", F.lit(0.0)), whole).alias("accuracy_expected"), "seq_len_mean", "wall_time_mean", (whole - zero("n_valid")).alias("n_fail_or_missing"),
     )
 
 
+def sweep_failures(samples: DataFrame, per_trial: DataFrame) -> DataFrame:
+    """kind, n: why samples of a sweep don't count, by the kind of their first reason (invalid_or_unscored without one), and those that are missing."""
+    reasons_ = failure_reasons(F.col("failure_reasons"), F.col("critical_failure"), sweep=True)
+    first = F.get(reasons_, F.lit(0))
+    invalid = samples.where(~_counts(samples)).select(failure_kind(F.coalesce(first, F.lit("invalid_or_unscored"))).alias("kind"), F.lit(1).cast("bigint").alias("n"))
+    missing = per_trial.where("n_missing > 0").select(F.lit("missing_sample").alias("kind"), F.col("n_missing").cast("bigint").alias("n"))
+    return invalid.unionByName(missing).groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind")
+
+
 def histogram(rows: DataFrame, value: str, last: int, keys: Sequence[str] = ()) -> DataFrame:
     """Counts of the values 0, 1, ... and of those of `last` and more, zeros kept, in one pass: bucket_0 ... bucket_<last>_plus."""
     buckets = [F.count(F.when(F.col(value) == i, 1)).alias(f"bucket_{i}") for i in range(last)]

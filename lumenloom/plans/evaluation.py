@@ -120,25 +120,38 @@ def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.reasons(samples(spark, sf_dir), []).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind")
 
 
-_SWEEP = f"""WITH {SAMPLES}, per AS (
-  SELECT trial_idx, count(*) AS n_exported, count(DISTINCT sample_index) AS n_distinct, count(*) FILTER (score IS NOT NULL AND NOT coalesce(critical_failure, false)) AS n_valid,
-    sum(score) FILTER (NOT coalesce(critical_failure, false)) AS score_sum, avg(wall_time_s) AS wall FROM samples GROUP BY 1
-), sweep AS (SELECT t.trial_idx, coalesce(n_exported, 0) AS n_exported, 5000 - coalesce(n_distinct, 0) AS n_missing, coalesce(n_valid, 0) AS n_valid,
-  coalesce(n_valid, 0) / 5000 AS valid_ratio, score_sum / nullif(n_valid, 0) AS accuracy_valid, coalesce(score_sum, 0.0) / 5000 AS accuracy_expected, wall AS wall_time_mean
-  FROM (SELECT CAST(unnest(range(5)) AS INTEGER) AS trial_idx) t LEFT JOIN per USING (trial_idx))"""
-_SWEEP_DOUBLES = ("valid_ratio", "accuracy_valid", "accuracy_expected", "wall_time_mean")
-
-
-@REGISTRY.add("sweep_per_trial", sql=_SWEEP + " SELECT trial_idx, n_exported, n_missing, n_valid, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SWEEP_DOUBLES) + " FROM sweep")
+_NO_REASON = "len(list_filter(coalesce(failure_reasons, []), lambda r: r IS NOT NULL AND r <> '')) = 0 AND NOT coalesce(critical_failure, false)"
+_SWEEP = f"""WITH {SAMPLES}, marked AS (SELECT *, score IS NOT NULL AND {_NO_REASON} AS valid FROM samples), per AS (
+  SELECT coalesce(trial_idx, 0) AS trial_idx, count(*) AS n_exported, count(DISTINCT sample_index) AS n_distinct, count(*) FILTER (valid) AS n_valid,
+    sum(score) FILTER (valid) AS score_sum, avg(total_tokens) FILTER (valid) AS seq, avg(wall_time_s) FILTER (valid) AS wall FROM marked GROUP BY 1
+), bounds AS (SELECT max(trial_idx) + 1 AS trials, max(n_exported) AS n_expected FROM per),
+sweep AS (SELECT t.trial_idx, n_expected, coalesce(n_exported, 0) AS n_exported, greatest(0, n_expected - coalesce(n_distinct, 0)) AS n_missing, coalesce(n_valid, 0) AS n_valid,
+  coalesce(n_valid, 0) / n_expected AS valid_ratio, score_sum / nullif(n_valid, 0) AS accuracy_valid, coalesce(score_sum, 0.0) / n_expected AS accuracy_expected, seq AS seq_len_mean, wall AS wall_time_mean,
+  n_expected - coalesce(n_valid, 0) AS n_fail_or_missing FROM (SELECT CAST(unnest(range(trials)) AS INTEGER) AS trial_idx, n_expected FROM bounds) t LEFT JOIN per USING (trial_idx))"""
+_SWEEP_DOUBLES = ("valid_ratio", "accuracy_valid", "accuracy_expected", "seq_len_mean", "wall_time_mean")
+
+
+@REGISTRY.add("sweep_per_trial", sql=_SWEEP + " SELECT trial_idx, n_expected, n_exported, n_missing, n_valid, n_fail_or_missing, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SWEEP_DOUBLES) + " FROM sweep")
 def sweep_per_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five expected trials of 5,000 samples, those without rows included."""
-    return rounded(summary.sweep_per_trial(samples(spark, sf_dir), 5, 5000))
+    """The trials of a sweep, those without rows included; how many there should be, and of how many samples, is taken from the data."""
+    return rounded(summary.sweep_per_trial(samples(spark, sf_dir)))
 
 
 @REGISTRY.add("sweep_summary", sql=_SWEEP + " SELECT count(*) AS num_trials, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, {_std(c)} AS {c}_std" for c in _SWEEP_DOUBLES) + " FROM sweep")
 def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation over the sweep's trials."""
-    return rounded(summary.over_trials(summary.sweep_per_trial(samples(spark, sf_dir), 5, 5000), [], _SWEEP_DOUBLES))
+    return rounded(summary.over_trials(summary.sweep_per_trial(samples(spark, sf_dir)), [], _SWEEP_DOUBLES))
+
+
+@REGISTRY.add(
+    "sweep_failures",
+    sql=_SWEEP + f""", invalid AS (SELECT coalesce(list_filter(coalesce(failure_reasons, []), lambda r: r IS NOT NULL AND r <> '')[1], CASE WHEN critical_failure THEN 'critical_failure' END, 'invalid_or_unscored') AS reason FROM marked WHERE NOT valid),
+      kinds AS (SELECT {_KIND} AS kind, 1 AS n FROM invalid UNION ALL SELECT 'missing_sample', n_missing FROM sweep WHERE n_missing > 0) SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM kinds GROUP BY 1""",
+)
+def sweep_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why samples of the sweep don't count, missing ones included."""
+    rows = samples(spark, sf_dir)
+    return summary.sweep_failures(rows, summary.sweep_per_trial(rows))
 
 
 @REGISTRY.add("expected_counts", sql=f"WITH {SAMPLES}, c AS (SELECT trial_idx, count(*) AS n FROM samples GROUP BY 1) SELECT max(n) AS per_trial, max(n) * (max(trial_idx) + 1) AS in_all FROM c")
@@ -164,7 +177,7 @@ def latest_line_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.latest_wins(rows, ["job_idx"], ["line_id"])
 
 
-_SIDES = f"""{SAMPLES}, rollout AS (SELECT job_key, wall_time_s, CAST(NULL AS DOUBLE) AS score FROM samples WHERE sample_index % 3 <> 0),
+_SIDES = f"""{SAMPLES}, rollout AS (SELECT job_key, wall_time_s, CAST(NULL AS DOUBLE) AS score FROM samples WHERE sample_index IS NULL OR sample_index % 3 <> 0 OR sample_index % 2 = 1),
  judged AS (SELECT job_key, wall_time_s + 1 AS wall_time_s, score FROM samples WHERE sample_index % 2 = 0)"""
 
 
@@ -176,7 +189,7 @@ _SIDES = f"""{SAMPLES}, rollout AS (SELECT job_key, wall_time_s, CAST(NULL AS DO
 def merge_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollout and judged samples merged; the rollout's row wins, scores are taken over."""
     all_ = samples(spark, sf_dir)
-    rollout = all_.where("sample_index % 3 <> 0").select("job_key", "wall_time_s", F.lit(None).cast("double").alias("score"))
+    rollout = all_.where("sample_index is null or sample_index % 3 <> 0 or sample_index % 2 = 1").select("job_key", "wall_time_s", F.lit(None).cast("double").alias("score"))
     judged = all_.where("sample_index % 2 = 0").select("job_key", (F.col("wall_time_s") + 1).alias("wall_time_s"), "score")
     return rounded(logs.merge_judged(rollout, judged, "job_key"))
 
@@ -199,7 +212,7 @@ def job_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RESUME_SQL = f"""WITH {SAMPLES}, want AS (SELECT DISTINCT job_key FROM checkpoint_rows WHERE job_key IS NOT NULL
   UNION SELECT 'job-new-' || CAST(n_nationkey AS VARCHAR) FROM nation), classed AS (
-  SELECT w.job_key, CASE WHEN s.job_key IS NULL THEN 'missing' WHEN coalesce(len(failure_reasons) > 0, false) THEN 'failed' ELSE 'reused' END AS state
+  SELECT w.job_key, CASE WHEN s.job_key IS NULL THEN 'missing' WHEN coalesce(len(list_filter(failure_reasons, lambda r: r IS NOT NULL)) > 0, false) OR coalesce(critical_failure, false) THEN 'failed' ELSE 'reused' END AS state
   FROM want w LEFT JOIN samples s USING (job_key))"""
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,11 +16,12 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def build_session(app: str = "lumenloom", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with the engine's defaults; `conf` wins over them."""
+    """A session with the engine's defaults; `conf` wins over them. Checkpoints are removed once nothing refers to them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -28,15 +31,29 @@ def build_session(app: str = "lumenloom", master: str | None = None, conf: dict[
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts.
+    """The folder for lineage cuts: the shared one named by `spark.checkpoint.dir`.
 
-    On a cluster it is the shared folder named by `spark.checkpoint.dir`. Only
-    where that is unset (tests, a laptop) a local folder is chosen.
+    Only where that is unset and Spark runs inside this very process (tests, a
+    laptop) a local folder is chosen; on a cluster its lack is an error, as no
+    other executor could read a local one.
     """
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "lumenloom-checkpoints")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared)
     return shared
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Sends this package to all executors as a zip file, for clusters on which it isn't installed; returns the file's path."""
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(), "lumenloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(Path("lumenloom") / file.relative_to(root)))
+    spark.sparkContext.addPyFile(target)
+    return target

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from lumenloom.functions.text import page_of_path, rescale_of_path
 from lumenloom.functions.values import clean_text, finite_float
 from lumenloom.session import ensure_checkpoint_dir
+from lumenloom.sources import files
 
 #: A sample of a rollout log.
 SAMPLE = (
     "struct<sample_index:bigint,trial_idx:int,uid:string,data_source:string,question_id:string,ground_truth:string,solution_str:string,response_truncated:boolean,"
     "critical_failure:boolean,failure_reasons:array<string>,num_turns:int,n_tool_calls:int,wall_time_s:double,prompt_tokens:bigint,response_tokens_total:bigint>"
 )
+SAMPLE_FIELDS = SAMPLE[len("struct<") : -1].split(",")
 CHECKPOINT = f"job_idx int, job_key string, written_at double, sample {SAMPLE}, corrupt_record string"
 MANIFEST = (
     "question_id string, document_id string, question string, answer string, images array<string>, subset string, data_source string, question_type string, "
@@ -45,10 +47,35 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, MANIFEST)
 
 
+def parse_checkpoints(lines: DataFrame) -> DataFrame:
+    """Lines of a rollout log (value, file_time) as job_idx, job_key, written_at and sample.
+
+    A line is an envelope if it has the key `sample`, else it is the sample
+    itself. job_idx comes from the envelope, then from the sample; job_key from
+    the sample, its resume metadata, then the envelope; the time from the
+    envelope, then the resume metadata (written_at, finalized_at, generated_at),
+    then the file. Unreadable lines, samples that aren't objects, and lines
+    without a whole job_idx give no row.
+    """
+    meta = "resume_metadata:struct<job_key:string,written_at:string,finalized_at:string,generated_at:string>"
+    wide = f"{SAMPLE[:-1]},job_idx:string,job_key:string,{meta}>"
+    number = lambda c: finite_float(c)
+    envelope = F.from_json("value", f"job_idx string, job_key string, written_at string, sample {wide}")
+    rows = lines.select(envelope.alias("e"), F.from_json("value", wide).alias("b"), F.json_object_keys("value").alias("keys"), "file_time").where("keys is not null")
+    wrapped = F.array_contains("keys", "sample")
+    rows = rows.select(F.when(wrapped, F.col("e.sample")).otherwise(F.col("b")).alias("s"), F.when(wrapped, F.col("e.job_idx")).alias("idx"), F.when(wrapped, F.col("e.written_at")).alias("at"), F.col("e.job_key").alias("key"), "file_time")
+    m = F.col("s.resume_metadata")
+    stamp = F.coalesce(number(F.col("at")), number(m["written_at"]), number(m["finalized_at"]), number(m["generated_at"]), F.unix_timestamp("file_time").cast("double"))
+    filled = lambda c: F.when(c != "", c)
+    sample = F.struct(*[F.col(f"s.{field.split(':')[0]}").alias(field.split(":")[0]) for field in SAMPLE_FIELDS])
+    return rows.where("s is not null").select(
+        F.coalesce("idx", "s.job_idx").try_cast("int").alias("job_idx"), F.coalesce(filled(F.col("s.job_key")), filled(m["job_key"]), filled(F.col("key"))).alias("job_key"), stamp.alias("written_at"), sample.alias("sample")
+    ).where("job_idx is not null")
+
+
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """A rollout log: its readable lines in envelope form, the time falling back to the file's."""
-    rows = read_jsonl(spark, path, CHECKPOINT).select("*", F.col("_metadata.file_modification_time").alias("file_time"))
-    return rows.where("sample is not null and job_idx is not null").withColumn("written_at", F.coalesce(finite_float(F.col("written_at")), F.unix_timestamp("file_time").cast("double"))).drop("corrupt_record", "file_time")
+    """A rollout log's records (`parse_checkpoints`), in envelope form or bare."""
+    return parse_checkpoints(spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("file_time")))
 
 
 def read_conversations(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -73,7 +100,7 @@ def read_parquet_with_origin(spark: SparkSession, paths: Sequence[str], most: in
 
 def count_rows(spark: SparkSession, path: str) -> int | None:
     """Rows of a parquet file from its footers; null if there is none."""
-    return spark.read.parquet(path).count() if Path(path).exists() else None
+    return spark.read.parquet(path).count() if files.exists(spark, path) else None
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +131,9 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_keyed_object(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """A JSON object keyed by id as rows: id and the fields of its values."""
+    """A JSON object keyed by id as rows: id and the fields of its values; no rows if there is no such file."""
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], "id string").select("id", F.from_json(F.lit("{}"), f"struct<{value_schema}>").alias("v")).select("id", "v.*")
     text = spark.read.option("wholetext", True).text(path)
     entries = text.select(F.explode(F.from_json("value", f"map<string,struct<{value_schema}>>")).alias("id", "v"))
     return entries.select("id", "v.*")

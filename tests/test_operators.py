@@ -108,11 +108,33 @@ def test_merge_judged(spark):
 
 def test_sweep_keeps_empty_trials(spark):
     df = spark.createDataFrame([(0, 1, 1.0, False, 2.0), (2, 1, None, True, 4.0)], "trial_idx int, sample_index bigint, score double, critical_failure boolean, wall_time_s double")
-    got = {r.trial_idx: r for r in summary.sweep_per_trial(df, 3, 2).collect()}
+    got = {r.trial_idx: r for r in summary.sweep_per_trial(df, trials=3, expected=2).collect()}
     assert (got[1].n_exported, got[1].n_missing, got[1].accuracy_valid) == (0, 2, None)
     assert (got[0].accuracy_valid, got[0].accuracy_expected, got[2].n_valid) == (1.0, 0.5, 0)
 
 
+def test_sweep_rejects_failed_samples(spark):
+    df = spark.createDataFrame([(0, 1, 1.0, False, ["tool error"], 2.0), (0, 2, 1.0, False, [""], 2.0), (0, 3, 1.0, True, None, 2.0), (2, 1, 0.0, None, [], 4.0)],
+                               "trial_idx int, sample_index bigint, score double, critical_failure boolean, failure_reasons array<string>, wall_time_s double")
+    per = summary.sweep_per_trial(df)
+    got = {r.trial_idx: r for r in per.collect()}
+    assert (got[0].n_valid, got[0].n_expected, got[0].accuracy_valid, got[0].accuracy_expected) == (1, 3, 1.0, 1 / 3)
+    assert (got[1].n_exported, got[1].n_missing, got[2].n_missing, got[2].n_fail_or_missing) == (0, 3, 2, 2)
+    assert {r.kind: r.n for r in summary.sweep_failures(df, per).collect()} == {"missing_sample": 5, "tool error": 1, "critical_failure": 1}
+    assert summary.sweep_per_trial(df.limit(0)).count() == 0
+
+
+def test_critical_failures_are_run_again(spark):
+    had = spark.createDataFrame([("a", [], True), ("b", None, False), ("c", ["x"], False), ("d", [None], None)], "job_key string, failure_reasons array<string>, critical_failure boolean")
+    jobs = spark.createDataFrame([(k,) for k in "abcde"], "job_key string")
+    assert {r.job_key: r.state for r in logs.classify_jobs(jobs, had).collect()} == {"a": "failed", "b": "reused", "c": "failed", "d": "reused", "e": "missing"}
+    told = spark.createDataFrame([("a", [], {"error_type": "E"}), ("b", [], {"score": "1"})], "job_key string, failure_reasons array<string>, score map<string,string>")
+    assert {r.job_key: r.state for r in logs.classify_jobs(jobs.limit(2), told).collect()} == {"a": "failed", "b": "reused"}
+    was = spark.createDataFrame([("f", 5), ("g", 2), ("h", 1)], "item string, n int")
+    now = spark.createDataFrame([("f", 6), ("g", 1), ("i", 1)], "item string, n int")
+    assert {(r.item, r.change) for r in logs.identity_changes(was, now).collect()} == {("g", "shrunk"), ("h", "removed")}
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([(0,), (1,), (5,), (9,)], "n int")
     assert summary.histogram(df, "n", 5).first()[:] == (1, 1, 0, 0, 0, 2)

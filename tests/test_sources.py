@@ -20,6 +20,18 @@ def test_checkpoint_reader(spark, tmp_path):
     assert rows["a"].written_at == 5.0 and rows["b"].written_at > 1e9
 
 
+def test_bare_checkpoint_records(spark, tmp_path):
+    lines = [
+        {"job_idx": 3, "job_key": "k", "sample_index": 1, "resume_metadata": {"written_at": "x", "finalized_at": 7.5}},
+        {"sample": {"job_idx": "4", "resume_metadata": {"job_key": "m", "generated_at": 2}}},
+        {"job_idx": 5, "sample": None}, {"job_idx": 6, "sample": "text"}, {"sample_index": 2}, [1],
+        {"job_idx": 8, "written_at": "9", "sample": {"job_key": "s"}, "job_key": "e"},
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = {r.job_idx: (r.job_key, r.written_at) for r in readers.read_checkpoints(spark, str(tmp_path)).collect()}
+    assert got == {3: ("k", 7.5), 4: ("m", 2.0), 8: ("s", 9.0)}
+
+
 def test_small_readers(spark, tmp_path):
     (tmp_path / "ids.txt").write_text(" a \n\nb\na\n")
     assert {r.id for r in readers.read_id_list(spark, str(tmp_path / "ids.txt")).collect()} == {"a", "b"}
@@ -30,6 +42,7 @@ def test_small_readers(spark, tmp_path):
     (tmp_path / "k.json").write_text('{"q1": {"answer": "x"}, "q2": {"answer": null}}')
     assert {(r.id, r.answer) for r in readers.read_keyed_object(spark, str(tmp_path / "k.json"), "answer:string").collect()} == {("q1", "x"), ("q2", None)}
     for n in (0, 1, 2):
+        assert readers.read_keyed_object(spark, str(tmp_path / "no.json"), "answer:string").count() == 0
         (tmp_path / "img" / "d").mkdir(parents=True, exist_ok=True)
         (tmp_path / "img" / "d" / f"{n:06d}.jpg").write_bytes(b"x")
     assert {(r.document, r.page) for r in readers.read_pages(spark, str(tmp_path / "img"), 1, 3).collect()} == {("d", 1), ("d", 2)}
@@ -76,7 +89,12 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = latest_wins(readers.read_checkpoints(spark, str(source)), ["job_key"], ["written_at", "job_idx"])
     assert sorted(map(str, table.read().select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
     assert seen == [2, 2, 3]
-    table.upsert(batch.limit(0), int(table.current().rsplit("v", 1)[1]))  # a repeated batch changes nothing
+    table.upsert(batch.limit(0), table.state()[0])  # a repeated batch changes nothing
     assert table.read().count() == 3
-    follow_completed_keys(spark, str(source), str(tmp_path / "cp2"), str(tmp_path / "keys")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "keys")).count() == 3
+    folders = {p.parent.name for p in (tmp_path / "table").glob("v*/_bucket=*")}
+    assert len(folders) <= 3 and len(list((tmp_path / "table").glob("manifest-*.json"))) == 2
+    keys = CompactedTable(spark, str(tmp_path / "keys"), ["job_key"], ["at"], buckets=4)
+    follow_completed_keys(spark, str(source), keys, str(tmp_path / "cp2")).awaitTermination()
+    (source / "9.jsonl").write_text(line(7, "late", -1e6))  # far older than anything before it
+    follow_completed_keys(spark, str(source), keys, str(tmp_path / "cp2")).awaitTermination()
+    assert {r.job_key for r in keys.read().collect()} == {"a", "b", "c", "late"}
