@@ -11,15 +11,16 @@ records by an equi-join on (source, index).
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of an output shard, and the most shards: the driver draws at most this many times one count per source.
-SHARD_SLOTS, MOST_SHARDS = 100_000, 20_000
+#: Slots of an output shard, and of a region of shards; exact draws need fewer than 1e9 slots in a region.
+SHARD_SLOTS, REGION_SLOTS = 50_000, 500_000_000
 #: Most sources; the driver holds one row for each.
 MOST_SOURCES = 10_000
 #: Records of a source that are numbered together by one task.
@@ -64,15 +65,37 @@ def mix_plan(rows: DataFrame, weights: DataFrame, source: str = "data_source") -
     return plan.withColumns({"_rank": rounded, "_missing": missing}).withColumn("target", (F.floor("quota") + F.when(F.col("_rank") <= F.col("_missing"), 1).otherwise(0)).cast("bigint")).drop("_rank", "_missing").withColumn("planned", F.least("target", F.col("cap").cast("bigint")))
 
 
-def mix_report(plan: DataFrame) -> DataFrame:
-    """Target and actual share of each source: source, n_rows, max_repeats, target_share, target, actual, actual_share, feasible."""
-    whole = F.sum("planned").over(Window.partitionBy())
-    return plan.select(
-        "source", "n_rows", "max_repeats", F.col("weight").alias("target_share"), "target", F.col("planned").alias("actual"),
-        F.coalesce(F.try_divide(F.col("planned").cast("double"), whole), F.lit(0.0)).alias("actual_share"), "feasible",
+def mix_report(plan: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Target and actual share of each source, the actual one counted in the mix.
+
+    Result: source, n_rows, max_repeats, target_share, target, actual (slots the
+    mix gave the source), actual_share (of all slots of the mix), share_of_target
+    (of the wanted total, which sources that can't reach their share leave
+    unfilled), most_used (how often the source's most used record is used),
+    feasible.
+    """
+    placed = mixed.groupBy("source", "repeat").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.sum("n").alias("n"), (F.max("repeat") + 1).alias("most_used"))
+    joined = plan.join(placed, plan["source"].eqNullSafe(placed["source"]), "left").drop(placed["source"]).withColumn("actual", F.coalesce("n", F.lit(0).cast("bigint")))
+    whole = F.sum("actual").over(Window.partitionBy())
+    share = lambda total: F.coalesce(F.try_divide(F.col("actual").cast("double"), total.cast("double")), F.lit(0.0))
+    return joined.select(
+        "source", "n_rows", "max_repeats", F.col("weight").alias("target_share"), "target", "actual", share(whole).alias("actual_share"),
+        share(F.col("total")).alias("share_of_target"), F.coalesce("most_used", F.lit(0)).alias("most_used"), "feasible",
     )
 
 
+def short_sources(plan: DataFrame, mixed: DataFrame) -> DataFrame:
+    """source: those that can't reach their share, by what the mix placed.
+
+    A source is short if the mix used each of its records as often as allowed
+    (it placed max_repeats * n_rows slots) and that is still less than its exact
+    quota, which is compared as a double, so that rounding to whole records
+    decides no case.
+    """
+    report = mix_report(plan, mixed).select(F.col("source").alias("_source"), "actual")
+    return plan.join(report, plan["source"].eqNullSafe(F.col("_source"))).where((F.col("actual") >= F.col("cap")) & (F.col("quota") > F.col("actual"))).select("source")
+
+
 def permute(position: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A keyed pseudorandom permutation of range(size), applied to positions; element by element.
 
@@ -101,19 +124,15 @@ def permute(position: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarr
     return out.astype(np.int64)
 
 
-def _permute_series(position: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series(permute(position.to_numpy(), size.to_numpy(), key.to_numpy()))
-
-
-def numbered(rows: DataFrame, order: str, source: str = "data_source") -> DataFrame:
+def numbered(rows: DataFrame, order: str, source: str = "data_source", total: int | None = None) -> DataFrame:
     """key, index, `order`: the rows of each source numbered from 0 without gaps.
 
     Rows are spread over buckets by a hash of `order`, numbered inside (source,
     bucket) and shifted by the counts of the buckets before, so no source is
-    sorted in one task however large it is.
+    sorted in one task however large it is. `total` (about how many rows there
+    are) saves a count.
     """
-    total = rows.count()
-    buckets = max(1, math.ceil(total / NUMBERED_TOGETHER))
+    buckets = max(1, math.ceil((rows.count() if total is None else total) / NUMBERED_TOGETHER))
     keyed = rows.where(F.col(source).isNotNull()).select(source_key(F.col(source)).alias("key"), F.pmod(F.xxhash64(F.col(order), F.lit(7)), F.lit(buckets)).alias("bucket"), F.col(order))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -121,48 +140,73 @@ def numbered(rows: DataFrame, order: str, source: str = "data_source") -> DataFr
     return keyed.withColumn("at", F.row_number().over(inside) - 1).join(offsets, ["key", "bucket"]).select("key", (F.col("offset") + F.col("at")).alias("index"), order)
 
 
-def draw_shards(planned: list[int], seed: int, shard_slots: int = SHARD_SLOTS) -> Iterator[tuple[int, int, int, int, int]]:
-    """(shard, source number, first slot of the source, slots, first place in the shard) of every shard and source in it.
+class Shards:
+    """The source counts of output shards, drawn at random so that they add up to the planned totals.
 
-    Draws without replacement from the sources' remaining slots, which is the
-    multinomial draw given that the totals come out exactly as planned.
+    The planned slots are first divided evenly over regions of at most
+    REGION_SLOTS. Inside a region the shards are halved again and again, and at
+    each halving the left half draws its counts from what the region has there:
+    a multivariate hypergeometric draw, which is the multinomial draw given the
+    totals. A draw is seeded by its place, so every shard can be drawn alone, by
+    any task, in as many draws as it has halvings above it.
     """
-    left = np.array(planned, dtype=np.int64)
-    used = np.zeros_like(left)
-    total = int(left.sum())
-    size = max(shard_slots, math.ceil(total / MOST_SHARDS), 1)
-    random = np.random.default_rng(seed)
-    for shard in range(math.ceil(total / size)):
-        wanted = min(size, int(left.sum()))
-        counts = left.copy() if wanted == left.sum() else np.zeros_like(left)
-        if wanted < left.sum():  # one source after the other: numpy's joint draw is limited to 1e9 in all
-            rest, need = int(left.sum()), wanted
-            for i, here in enumerate(left):
-                rest -= int(here)
-                share = need if rest == 0 else _hypergeometric(random, int(here), rest, need)
-                counts[i], need = share, need - share
-        place = 0
-        for i, n in enumerate(counts):
-            if n:
-                yield shard, i, int(used[i]), int(n), place
-                place += int(n)
-        used += counts
-        left -= counts
-
-
-def _hypergeometric(random: np.random.Generator, good: int, bad: int, need: int) -> int:
-    """A hypergeometric draw; beyond numpy's range its normal approximation, within the possible bounds."""
-    if good == 0 or need == 0:
-        return 0
-    if good + bad < 1_000_000_000:
-        return int(random.hypergeometric(good, bad, need))
-    whole = good + bad
-    mean = need * good / whole
-    spread = math.sqrt(mean * (bad / whole) * ((whole - need) / max(1, whole - 1)))
-    return int(min(max(round(random.normal(mean, spread)), need - bad, 0), good, need))
-
-
-def mix(rows: DataFrame, weights: DataFrame, seed: int = 17, order: str = "row_id", source: str = "data_source", shard_slots: int = SHARD_SLOTS) -> DataFrame:
+
+    def __init__(self, planned: list[int], seed: int, slots: int = SHARD_SLOTS, region: int = REGION_SLOTS) -> None:
+        self.planned = np.array(planned, dtype=np.int64)
+        self.seed, self.slots = seed, max(1, slots)
+        total = int(self.planned.sum())
+        self.regions = max(1, math.ceil(total / region))
+        # Python's whole numbers, as the products may not fit 64 bits.
+        self.bounds = [np.array([int(n) * r // self.regions for n in self.planned], dtype=np.int64) for r in range(self.regions + 1)]
+        sizes = [int((b - a).sum()) for a, b in zip(self.bounds, self.bounds[1:])]
+        self.first = [0]
+        for size in sizes:
+            self.first.append(self.first[-1] + math.ceil(size / self.slots))
+
+    def __len__(self) -> int:
+        return self.first[-1]
+
+    def draw(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots that each source has in a shard, and the number of the first of them among the source's slots."""
+        at = bisect_right(self.first, shard) - 1
+        used = self.bounds[at].copy()
+        counts = self.bounds[at + 1] - self.bounds[at]
+        low, high = self.first[at], self.first[at + 1]
+        while high - low > 1:
+            middle = (low + high) // 2
+            random = np.random.default_rng((self.seed, at, low, high))
+            left = random.multivariate_hypergeometric(counts, (middle - low) * self.slots, method="marginals")
+            if shard < middle:
+                counts, high = left, middle
+            else:
+                used, counts, low = used + left, counts - left, middle
+        return counts, used
+
+
+def _seed_of(*parts: int) -> int:
+    """A 62-bit number from whole numbers, the same in every process."""
+    return int(np.random.SeedSequence(parts).generate_state(1, np.uint64)[0] >> np.uint64(2))
+
+
+def shard_slots(shards: Shards, shard: int, n_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slot in the shard, number of the source, repeat, and index of the record, of every slot of a shard."""
+    counts, first = shards.draw(shard)
+    size = int(counts.sum())
+    source = np.repeat(np.arange(len(counts)), counts)
+    inside = np.arange(size) - np.repeat(np.cumsum(counts) - counts, counts)
+    slot_of_source = first[source] + inside
+    rows = n_rows[source]
+    repeat = slot_of_source // rows
+    # One key for each source and repeat, so that every pass over a source has an order of its own.
+    pairs, which = np.unique(source * (int(repeat.max(initial=0)) + 1) + repeat, return_inverse=True)
+    width = int(repeat.max(initial=0)) + 1
+    keys = np.array([_seed_of(shards.seed, 1, int(p) // width, int(p) % width) for p in pairs], dtype=np.int64)
+    index = permute(slot_of_source % rows, rows, keys[which] if size else np.zeros(0, np.int64))
+    slot = permute(np.arange(size), np.full(size, size), np.full(size, _seed_of(shards.seed, 2, shard)))
+    return slot, source, repeat, index
+
+
+def mix(rows: DataFrame, weights: DataFrame, seed: int = 17, order: str = "row_id", source: str = "data_source", slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix: shard, slot, source, repeat, `order` of the record in the slot.
 
     Each source fills exactly its planned number of slots (`mix_plan`); none of
@@ -171,23 +215,29 @@ def mix(rows: DataFrame, weights: DataFrame, seed: int = 17, order: str = "row_i
     can't reach their share give all they may and are not replaced, so the mix is
     smaller by what they lack; `mix_report` tells both shares. The result depends
     only on the data and `seed`. Rows with a null `order` are numbered as any.
+
+    The driver holds one row per source. Counts are drawn and slots permuted in
+    the tasks, one shard after another; the only shuffles number the records and
+    join them with their slots by (source, index), which no two records share.
     """
     spark = rows.sparkSession
-    permuted = F.pandas_udf(_permute_series, "bigint")
     plan = mix_plan(rows, weights, source).select("source", "key", "n_rows", "planned").orderBy("key").limit(MOST_SOURCES + 1).collect()
     if len(plan) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    drawn = [(shard, plan[i].source, plan[i].key, plan[i].n_rows, first, n, place) for shard, i, first, n, place in draw_shards([p.planned for p in plan], seed, shard_slots)]
-    blocks = spark.createDataFrame(drawn, "shard int, source string, key string, n_rows bigint, first bigint, n bigint, place bigint")
-    slots = (
-        blocks.withColumn("shard_size", F.sum("n").over(Window.partitionBy("shard")))
-        .repartition("shard", "key")
-        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
-        .withColumn("j", F.col("first") + F.col("i"))
-        .select(
-            "shard", "source", "key", F.floor(F.col("j") / F.col("n_rows")).cast("int").alias("repeat"),
-            permuted(F.col("j") % F.col("n_rows"), F.col("n_rows"), F.xxhash64("key", F.floor(F.col("j") / F.col("n_rows")), F.lit(seed))).alias("index"),
-            permuted(F.col("place") + F.col("i"), F.col("shard_size"), F.xxhash64(F.col("shard"), F.lit(seed))).alias("slot"),
-        )
-    )
-    return slots.join(numbered(rows, order, source), ["key", "index"]).select("shard", "slot", "source", "repeat", order)
+    shards = Shards([p.planned for p in plan], seed, slots)
+    n_rows = np.array([max(1, p.n_rows) for p in plan], dtype=np.int64)
+    names, keys = pa.array([p.source for p in plan], pa.string()), pa.array([p.key for p in plan], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                slot, of, repeat, index = shard_slots(shards, shard, n_rows)
+                at = pa.array(of, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(slot), shard), pa.int64()), pa.array(slot, pa.int64()), names.take(at), keys.take(at), pa.array(repeat, pa.int32()), pa.array(index, pa.int64())],
+                    ["shard", "slot", "source", "key", "repeat", "index"],
+                )
+
+    numbers = spark.range(0, len(shards), numPartitions=max(1, min(len(shards), 10_000)))
+    wanted = numbers.mapInArrow(run, "shard bigint, slot bigint, source string, key string, repeat int, index bigint")
+    return wanted.join(numbered(rows, order, source, sum(p.n_rows for p in plan)), ["key", "index"]).select("shard", "slot", "source", "repeat", order)

@@ -39,28 +39,60 @@ _MIX_SQL = f"""
 WITH counts AS (
   SELECT {_SOURCE_KEY.format("data_source")} AS key, count(*) AS n FROM manifest WHERE split = 'train' AND data_source IS NOT NULL GROUP BY 1
 ), plan AS (
-  SELECT w.source, w.weight, w.max_repeats, coalesce(c.n, 0) AS n_rows, sum(coalesce(c.n, 0)) OVER () AS total
+  SELECT w.source, c.key, w.weight, w.max_repeats, coalesce(c.n, 0) AS n_rows, sum(coalesce(c.n, 0)) OVER () AS total, {_SOURCE_KEY.format("w.source")} AS name
   FROM mix_weights w LEFT JOIN counts c ON c.key = {_SOURCE_KEY.format("w.source")}
-)
+), quotas AS (
+  SELECT *, weight * total AS quota, max_repeats * n_rows AS cap FROM plan
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY quota - floor(quota) DESC, name) AS place, round(sum(quota) OVER ()) - sum(floor(quota)) OVER () AS missing FROM quotas
+), targets AS (
+  SELECT *, CAST(floor(quota) + CASE WHEN place <= missing THEN 1 ELSE 0 END AS BIGINT) AS target FROM ranked
+), mixed AS (SELECT *, least(target, cap) AS actual FROM targets)
 """
 
 
-@REGISTRY.add("p3_found", sql=_MIX_SQL + "SELECT source FROM plan WHERE weight * total > max_repeats * n_rows")
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights"))
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights"))
+
+
+@REGISTRY.add("p3_found", sql=_MIX_SQL + "SELECT source FROM quotas WHERE quota > cap")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that can't reach their share of the mix."""
-    return mixing.mix_plan(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights")).where("not feasible").select("source")
+    """Sources that can't reach their share, by what the mix gave them."""
+    return mixing.short_sources(_plan(spark, sf_dir), _mixed(spark, sf_dir))
 
 
-@REGISTRY.add("p3_report")
+@REGISTRY.add(
+    "p3_report",
+    sql=_MIX_SQL
+    + """SELECT source, n_rows, max_repeats, weight AS target_share, target, CAST(actual AS BIGINT) AS actual, round(actual / sum(actual) OVER (), 9) AS actual_share, round(actual / total, 9) AS share_of_target,
+      CAST(CASE WHEN actual > 0 THEN ceil(actual / n_rows) ELSE 0 END AS INTEGER) AS most_used, quota <= cap AS feasible FROM mixed""",
+)
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source."""
-    return mixing.mix_report(mixing.mix_plan(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights")))
+    """Target and actual share of each source, counted in the mix."""
+    report = mixing.mix_report(_plan(spark, sf_dir), _mixed(spark, sf_dir))
+    return report.withColumns({c: F.round(c, 9) for c in ("actual_share", "share_of_target")})
 
 
 @REGISTRY.add("p3_mix")
 def p3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed training records, shard by shard."""
-    return mixing.mix(_train(spark, sf_dir), table(spark, sf_dir, "mix_weights"))
+    return _mixed(spark, sf_dir)
+
+
+@REGISTRY.add(
+    "p3_uses",
+    sql=_MIX_SQL
+    + """SELECT source, CAST(actual AS BIGINT) AS n_slots, CAST(least(actual, n_rows) AS BIGINT) AS n_records, CAST(actual // n_rows + CASE WHEN actual % n_rows > 0 THEN 1 ELSE 0 END AS BIGINT) AS most_used,
+      CAST(greatest(1, actual // n_rows) AS BIGINT) AS least_used FROM mixed WHERE actual > 0""",
+)
+def p3_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the mix: slots, distinct records in them, and how often the most and the least used record is used."""
+    uses = _mixed(spark, sf_dir).groupBy("source", "row_id").agg(F.count(F.lit(1)).alias("n"))
+    return uses.groupBy("source").agg(F.sum("n").alias("n_slots"), F.count(F.lit(1)).alias("n_records"), F.max("n").alias("most_used"), F.min("n").alias("least_used"))
 
 
 @REGISTRY.add("p5_ids")

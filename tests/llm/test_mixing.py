@@ -19,16 +19,24 @@ def test_permutation(size):
         assert (mixing.permute(positions, np.full(size, size), np.full(size, 98)) != out).mean() > 0.8
 
 
-def test_draws_keep_the_totals():
-    planned = [1000, 0, 37, 250_000]
-    drawn = list(mixing.draw_shards(planned, 3, 10_000))
-    assert [sum(n for _, i, _, n, _ in drawn if i == k) for k in range(4)] == planned
-    for k in range(4):
-        at = 0
-        for _, i, first, n, _ in drawn:
-            if i == k:
-                assert first == at
-                at += n
+@pytest.mark.parametrize("region", [500_000_000, 60_000, 1])
+def test_draws_keep_the_totals(region):
+    planned = [1000, 0, 37, 25_000 if region == 1 else 250_000]
+    shards = mixing.Shards(planned, 3, 10_000, region if region > 1 else 7_000)
+    drawn = [shards.draw(k) for k in range(len(shards))]
+    assert sum(c for c, _ in drawn).tolist() == planned
+    used = np.zeros(4, np.int64)
+    for counts, first in drawn:
+        assert 0 < counts.sum() <= 10_000 and (first == used).all()
+        used += counts
+
+
+def test_draws_are_random_and_fair():
+    shards = mixing.Shards([30_000, 70_000], 1, 100)
+    share = np.array([shards.draw(k)[0][0] for k in range(len(shards))])
+    assert share.mean() == pytest.approx(30)
+    assert 3.5 < share.std() < 5.7  # of a binomial draw: 4.6
+    assert [mixing.Shards([30_000, 70_000], 2, 100).draw(k)[0][0] for k in range(20)] != share[:20].tolist()
 
 
 def data(spark):
@@ -43,21 +51,25 @@ def test_plan_and_report(spark):
     assert plan["b_y"].n_rows == 360 and plan["b_y"].total == 962
     assert {s for s, r in plan.items() if not r.feasible} == {"b_y", "tiny", "none"}
     assert sum(r.target for r in plan.values()) == 962
-    report = {r.source: r for r in mixing.mix_report(mixing.mix_plan(*data(spark))).collect()}
+    report = {r.source: r for r in mixing.mix_report(mixing.mix_plan(*data(spark)), mixing.mix(*data(spark))).collect()}
     assert report["tiny"].actual == 6 and report["none"].actual == 0
     assert sum(r.actual_share for r in report.values()) == pytest.approx(1)
+    assert sum(r.share_of_target for r in report.values()) == pytest.approx((193 + 360 + 6) / 962)
+    assert report["tiny"].most_used == 3
+    short = mixing.short_sources(mixing.mix_plan(*data(spark)), mixing.mix(*data(spark)))
+    assert {r.source for r in short.collect()} == {"b_y", "tiny", "none"}
 
 
 def test_mix_is_exact_and_bounded(spark):
     rows, weights = data(spark)
     plan = {r.source: r.planned for r in mixing.mix_plan(rows, weights).collect()}
-    got = mixing.mix(rows, weights, shard_slots=100).collect()
+    got = mixing.mix(rows, weights, slots=100).collect()
     assert Counter(r.source for r in got) == Counter({k: v for k, v in plan.items() if v})
     assert len({(r.shard, r.slot) for r in got}) == len(got)
     for source, most in (("A_X", 1), ("b_y", 1), ("tiny", 3)):
         uses = Counter(r.row_id for r in got if r.source == source)
         assert max(uses.values()) <= most and max(uses.values()) - min(uses.values()) <= 1
-    again = mixing.mix(rows.repartition(5), weights, shard_slots=100).collect()
+    again = mixing.mix(rows.repartition(5), weights, slots=100).collect()
     assert {tuple(r) for r in again} == {tuple(r) for r in got}
 
 
