@@ -10,21 +10,19 @@ renamed or changed its type.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.session import ensure_checkpoint_dir
+from lumenloom.session import written
 
 #: Strict JSON: what a standard parser would refuse is unreadable here, too.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
 
 RESCUED = "_rescued"
 
-#: Turning fields (a row of about 100 bytes each) up to which they are broadcast; beyond, they meet the values by a shuffle.
-BROADCAST_ROWS = 200_000
-
 
 def parse_objects(lines: DataFrame, line: str, keep: Sequence[Column]) -> DataFrame:
     """`keep` plus `_fields map<string,variant>`, one row per line that is exactly one JSON object.
@@ -161,36 +159,38 @@ def comparable(text: Column) -> Column:
     5, "5", [5] and "[5]" become the same, as do an object and the list of its
     values. Null and empty values become null.
     """
-    plain = F.regexp_replace(text, r'\\*"[^"\\]*\\*"\s*:', " ")
-    plain = F.lower(F.trim(F.regexp_replace(plain, r'[\[\]{}"\\,\s]+', " ")))
-    number = F.when(plain.rlike(r"^-?[0-9][0-9.e+-]*$"), plain.try_cast("double"))
+    keyless = F.when(text.contains('":') | text.rlike(r'"\s+:'), F.regexp_replace(text, r'\\*"[^"\\]*\\*"\s*:', " ")).otherwise(text)
+    bare = F.translate(keyless, '[]{}"\\,\t\n\r', " " * 10)
+    plain = F.lower(F.trim(F.when(bare.contains("  "), F.regexp_replace(bare, " +", " ")).otherwise(bare)))
+    number = F.when(F.substring(plain, 1, 1).isin(*"-0123456789") & plain.rlike(r"^-?[0-9][0-9.e+-]*$"), plain.try_cast("double"))
     return F.when(~plain.isin("", "null"), F.xxhash64(F.coalesce(number.cast("string"), plain)))
 
 
 def present_fields(ingested: DataFrame, target: Mapping[str, str], record_key: Sequence[str]) -> DataFrame:
-    """One row per field present in a record, from the typed columns and the rescue column alike.
+    """The fields that each record has, from the typed columns and the rescue column alike, one row per record.
 
-    Columns: feed, file_name, record (hash of the key, null if part of it is), field, text (JSON text).
+    Columns: feed, file_name, record (hash of the key, null if part of it is),
+    fields array of (field, kind (JSON type, null for null), v (`comparable` value)).
     """
     own = lambda c: F.col(f"_file_{c}" if f"_file_{c}" in ingested.columns else c)
-    typed = F.map_from_arrays(
-        F.array(*[F.lit(name) for name in target]),
-        F.array(*[F.coalesce(F.to_json(F.col(f"`{name}`").cast("variant")), F.lit("")) for name in target]),
-    )
+    typed = [F.when(F.col(f"`{name}`").isNotNull(), F.struct(F.lit(name).alias("key"), F.to_json(F.col(f"`{name}`").cast("variant")).alias("value"))) for name in target]
     known = F.lit(True)
     for part in record_key:
         known = known & F.col(part).isNotNull()
-    entries = F.concat(F.map_entries(RESCUED), F.map_entries(typed)) if target else F.map_entries(RESCUED)
+    entries = F.concat(F.map_entries(RESCUED), F.array_compact(F.array(*typed))) if target else F.map_entries(RESCUED)
+    fields = F.transform(entries, lambda e: F.struct(e["key"].alias("field"), json_kind(e["value"]).alias("kind"), comparable(e["value"]).alias("v")))
+    return ingested.where(own("file_name").isNotNull()).select(F.coalesce(own("feed"), F.lit("")).alias("feed"), own("file_name").alias("file_name"), F.when(known, F.xxhash64(*record_key)).alias("record"), fields.alias("fields"))
+
+
+def file_order(lines: DataFrame) -> DataFrame:
+    """feed ('' for null), file_name, n, n_files: the files of each feed numbered from 1 by `exported_at`, ties by name."""
     return (
-        ingested.where(own("file_name").isNotNull())
-        .select(
-            F.coalesce(own("feed"), F.lit("")).alias("feed"),
-            own("file_name").alias("file_name"),
-            F.when(known, F.xxhash64(*record_key)).alias("record"),
-            F.explode(entries).alias("e"),
-        )
-        .select("feed", "file_name", "record", F.col("e.key").alias("field"), F.col("e.value").alias("text"))
-        .where(F.col("text") != "")
+        lines.where(F.col("file_name").isNotNull())
+        .groupBy(F.coalesce("feed", F.lit("")).alias("feed"), "file_name")
+        .agg(F.min("exported_at").alias("at"))
+        .withColumn("n", F.row_number().over(Window.partitionBy("feed").orderBy("at", "file_name")))
+        .withColumn("n_files", F.count(F.lit(1)).over(Window.partitionBy("feed")))
+        .drop("at")
     )
 
 
@@ -202,38 +202,33 @@ def change_report(
 ) -> DataFrame:
     """Every change of fields between a file and the one before it in its feed.
 
-    Result: feed, file_name, change, old_field, new_field ('' for none), where
-    change is renamed, removed, added or type_changed. Lines belong to their
-    file whenever they were received; files are ordered by `exported_at`, ties
-    by name. A field is present if a line has its key, even with null. A field
-    that vanishes and one that appears are one renamed field if, of the records
-    (`record_key`) listed in both files with a value in either, at least
-    `least_agreement` keep it; if several fields fit, the one with most agreeing
-    records is taken, then the higher agreement, then the names in order.
+    Result: feed, file_name, n (the file's number in its feed), change,
+    old_field, new_field ('' for none), where change is renamed, removed, added
+    or type_changed. Lines belong to their file whenever they were received;
+    files are ordered by `exported_at`, ties by name. A field is present if a
+    line has its key, even with null. A field that vanishes and one that appears
+    are one renamed field if, of the records (`record_key`) listed in both files
+    with a value in either, at least `least_agreement` keep it; if several fields
+    fit, the one with most agreeing records is taken, then the higher agreement,
+    then the names in order.
 
     Lines without a file name, unreadable ones and repeated ones change nothing;
     null feeds are one feed; a feed of one file, like an empty table, gives no row.
 
-    Presence and types are pre-aggregated per file and field, and that small
-    table is checkpointed, so the lines are read twice in all. Values are
-    compared only for fields that vanish or appear, after aggregation by
-    (file, record, field); a group then holds one record's fields.
+    Lines are parsed once; what the records have is written by column to the
+    checkpoint folder. Presence and types are pre-aggregated per file and field.
+    The fields that vanish from or appear in a file then meet its records as one
+    row per file, so a record is shuffled once, and only its turning fields go on
+    to the comparison, whose groups hold one record's fields.
     """
-    ensure_checkpoint_dir(lines.sparkSession)
-    files = (
-        lines.where(F.col("file_name").isNotNull())
-        .groupBy(F.coalesce("feed", F.lit("")).alias("feed"), "file_name")
-        .agg(F.min("exported_at").alias("at"))
-        .withColumn("n", F.row_number().over(Window.partitionBy("feed").orderBy("at", "file_name")))
-        .withColumn("n_files", F.count(F.lit(1)).over(Window.partitionBy("feed")))
-        .drop("at")
-    )
     ingested = rescue_ingest(lines.select("feed", "file_name", "exported_at", "line"), target)
-    fields = present_fields(ingested, target, record_key)
+    records = written(present_fields(ingested, target, record_key))
+    files = written(file_order(lines))
     step = Window.partitionBy("feed", "field").orderBy("n")
-    around = (
-        fields.groupBy("feed", "file_name", "field")
-        .agg(F.array_sort(F.collect_set(json_kind(F.col("text")))).alias("kinds"))
+    around = written(
+        records.select("feed", "file_name", F.inline("fields"))
+        .groupBy("feed", "file_name", "field")
+        .agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
         .join(files, ["feed", "file_name"])
         .withColumns({"before": F.lag("n").over(step), "after": F.lead("n").over(step), "old_kinds": F.lag("kinds").over(step)})
         .select(
@@ -242,20 +237,21 @@ def change_report(
             ((F.col("n") < F.col("n_files")) & ~F.coalesce(F.col("after") == F.col("n") + 1, F.lit(False))).alias("ends"),
             F.coalesce(F.col("before") == F.col("n") - 1, F.lit(False)).alias("stays"),
         )
-        .checkpoint()
     )
     appeared = around.where("new").select("feed", "n", F.col("field").alias("new_field"), "kinds")
     vanished = around.where("ends").select("feed", (F.col("n") + 1).alias("n"), F.col("field").alias("old_field"), F.col("kinds").alias("old_kinds"))
 
-    turning = around.where(F.col("new") | F.col("ends")).select("feed", "file_name", "field", "n", "new", "ends")
-    if turning.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        turning = F.broadcast(turning)
-    roles = F.array_compact(F.array(F.when(F.col("ends"), F.struct(F.lit("old").alias("role"), (F.col("n") + 1).alias("n"))), F.when(F.col("new"), F.struct(F.lit("new").alias("role"), F.col("n").alias("n")))))
-    side = lambda role: F.collect_list(F.when(F.col("role") == role, F.struct("field", "v")))
+    # One row per file: the fields that end with it and those that are new in it.
+    named = lambda flag: F.collect_list(F.when(F.col(flag), F.col("field")))
+    turning = around.where("new or ends").groupBy("feed", "file_name", "n").agg(named("ends").alias("old"), named("new").alias("new"))
+    role = lambda names, shift, what: F.when(F.size(names) > 0, F.struct(F.lit(what).alias("role"), (F.col("n") + shift).alias("n"), F.filter("fields", lambda f: F.array_contains(names, f["field"])).alias("f")))
+    side = lambda what: F.collect_list(F.when(F.col("role") == what, F.struct("field", "v")))
     met = (
-        fields.where(F.col("record").isNotNull())
-        .join(turning, ["feed", "file_name", "field"])
-        .select("feed", "record", "field", comparable(F.col("text")).alias("v"), F.inline(roles))
+        records.where(F.col("record").isNotNull())
+        .join(turning, ["feed", "file_name"])
+        .select("feed", "record", F.inline(F.array_compact(F.array(role(F.col("old"), 1, "old"), role(F.col("new"), 0, "new")))))
+        .select("feed", "record", "role", "n", F.explode("f").alias("f"))
+        .select("feed", "record", "role", "n", "f.field", "f.v")
         .groupBy("feed", "n", "record", "role", "field")
         .agg(F.max("v").alias("v"))
         .groupBy("feed", "n", "record")
@@ -292,7 +288,7 @@ def change_report(
     return (
         changes.select("feed", "n", F.coalesce("old_field", none).alias("old_field"), F.coalesce("new_field", none).alias("new_field"), F.explode(what).alias("change"))
         .join(files.select("feed", "n", "file_name"), ["feed", "n"])
-        .select("feed", "file_name", "change", "old_field", "new_field")
+        .select("feed", "file_name", "n", "change", "old_field", "new_field")
     )
 
 
@@ -326,13 +322,105 @@ def learn_aliases(report: DataFrame, target: Mapping[str, str], most_names: int
     return aliases
 
 
+def feed_aliases(report: DataFrame, files: DataFrame, target: Mapping[str, str], anywhere: Mapping[str, Sequence[str]]) -> DataFrame:
+    """feed, file_name, aliases (map of a field's name in that file to the target field it is), for the files that have one.
+
+    The renames of a feed are chained in the order of its files; a chain through
+    a target's name is that target, in each file under the name it had there. A
+    chain without one takes the target that its names have `anywhere`
+    (`learn_aliases`). So a name that means different things in different feeds,
+    or at different times, is read as what it was there.
+    """
+    renames = report.where("change = 'renamed'").select("feed", "n", "old_field", "new_field")
+    elsewhere = {name: t for t, names in anywhere.items() for name in names}
+    known = set(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feed: str | None = None
+        chains: list[list[list]] = []  # of [name, first file, last file]
+        live: dict[str, int] = {}
+        ended: dict[str, int] = {}  # the last file in which a name was another chain's
+
+        def out() -> pa.RecordBatch:
+            rows = []
+            for chain in chains:
+                means = next((name for name, _, _ in chain if name in known), None) or next((elsewhere[name] for name, _, _ in chain if name in elsewhere), None)
+                rows += [(feed, name, low, high, means) for name, low, high in chain if means is not None and name != means]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["feed", "name", "low", "high", "target"])
+
+        for batch in batches:
+            for own, n, old, new in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != feed:
+                    if feed is not None:
+                        yield out()
+                    feed, chains, live, ended = own, [], {}, {}
+                at = live.pop(old, None)
+                if at is None:
+                    at = len(chains)
+                    chains.append([[old, ended.get(old, 0) + 1, 2**31 - 1]])
+                chains[at][-1][2] = ended[old] = n - 1
+                if new in live:  # its field had vanished before
+                    chains[live[new]][-1][2] = n - 1
+                chains[at].append([new, n, 2**31 - 1])
+                live[new] = at
+        if feed is not None:
+            yield out()
+
+    spans = renames.repartition("feed").sortWithinPartitions("feed", "n", "old_field").mapInArrow(run, "feed string, name string, low int, high int, target string")
+    most = files.groupBy("feed").agg(F.max("n").alias("most"))
+    each = spans.join(most, "feed").select("feed", "name", "target", F.explode(F.sequence(F.col("low"), F.least("high", "most"))).alias("n"))
+    one = each.groupBy("feed", "n", "name").agg(F.min("target").alias("target"))  # a name renamed away and back within a file's step
+    return one.join(files.select("feed", "file_name", "n"), ["feed", "n"]).groupBy("feed", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("name", "target"))).alias("aliases"))
+
+
+def promote_by(ingested: DataFrame, approved: Mapping[str, str], aliases: str, fallback: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """As `promote`, but what a field was called comes with each row, in the map `aliases` (name to approved field, dropped afterwards).
+
+    A value already typed wins, then the field's own name in the rescue column,
+    then the name the map gives, then the names of `fallback` that the map
+    doesn't give to another field.
+    """
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    said = F.coalesce(F.col(aliases), empty)
+    other = {name: t for t, names in (fallback or {}).items() for name in names}
+    spare = F.create_map(*[F.lit(x) for pair in other.items() for x in pair]) if other else empty
+    means = lambda key: F.coalesce(said[key], F.when(key.isin(*approved), key), spare[key])
+    order = lambda key: F.when(key.isin(*approved), F.lit(0)).when(F.map_contains_key(said, key), F.lit(1)).otherwise(F.lit(2))
+    # (target, order, name, text) of every rescued value that is some approved field's.
+    tagged = F.transform(F.map_entries(RESCUED), lambda e: F.struct(means(e["key"]).alias("t"), order(e["key"]).alias("o"), e["key"].alias("k"), e["value"].alias("v")))
+    rows = ingested.withColumn("_told", F.array_sort(F.filter(tagged, lambda x: x["t"].isNotNull())))
+
+    def read(name: str, kind: str) -> Column:
+        values = F.transform(F.filter("_told", lambda x: x["t"] == name), lambda x: _lenient(F.try_parse_json(x["v"]), kind))
+        first = F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+        return F.coalesce(F.col(f"`{name}`"), first) if name in ingested.columns else first
+
+    def spent(x: Column) -> Column:
+        done = x["v"] == "null"
+        for name, kind in approved.items():
+            done = done | ((x["t"] == name) & _lenient(F.try_parse_json(x["v"]), kind).isNotNull())
+        return done
+
+    gone = F.transform(F.filter("_told", spent), lambda x: x["k"])
+    left = F.transform(F.array(gone), lambda names: F.map_filter(RESCUED, lambda key, _: ~F.array_contains(names, key)))[0]
+    return rows.withColumns({**{name: read(name, kind) for name, kind in approved.items()}, RESCUED: left}).drop("_told", aliases)
+
+
 def consistent_table(lines: DataFrame, target: Mapping[str, str], record_key: Sequence[str] = ("document_id", "question")) -> DataFrame:
     """All readable records of all files in one table of the target schema.
 
-    Renames found by `change_report` are approved automatically: their rescued
-    values are replayed into the target's columns. Fields the target doesn't
-    know stay in `_rescued`. Carries every column of `lines` but `line`.
+    Renames found by `change_report` approve the fields: rescued values are
+    replayed into the target's columns under the name they had in their file
+    (`feed_aliases`), and, for names no rename of the feed explains, under those
+    the field has elsewhere. Fields the target doesn't know stay in `_rescued`.
+    Carries every column of `lines` but `line`. Lines without a file name are
+    read by the names known elsewhere.
     """
     key_types = {name: target[name] for name in record_key}
-    aliases = learn_aliases(change_report(lines, key_types, record_key), target)
-    return promote(rescue_ingest(lines, target), target, aliases)
+    report = written(change_report(lines, key_types, record_key))
+    anywhere = learn_aliases(report, target)
+    aliases = feed_aliases(report, file_order(lines), target, anywhere).select(F.col("feed").alias("_feed"), F.col("file_name").alias("_name"), F.col("aliases").alias("_aliases"))
+    told = lines.join(aliases, F.coalesce(lines["feed"], F.lit("")).eqNullSafe(F.col("_feed")) & (lines["file_name"] == F.col("_name")), "left").drop("_feed", "_name")
+    return promote_by(rescue_ingest(told, target), target, "_aliases", anywhere)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plans; everything else is left to the cluster.
 DEFAULTS = {
@@ -48,6 +51,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a table written to the checkpoint folder: a lineage cut that is stored by column, so that later readers read only what they use.
+
+    The table is removed when the driver ends.
+    """
+    spark = rows.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lumenloom-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> str:
     """Sends this package to all executors as a zip file, for clusters on which it isn't installed; returns the file's path."""
     root = Path(__file__).resolve().parent

@@ -94,6 +94,32 @@ def test_consistent_table_follows_chains_of_names(spark):
     assert all(r.question_id == "m" + r.question[1:] and r._rescued == {} for r in table.collect())
 
 
+def test_a_name_is_read_as_what_it_was_in_its_feed(spark):
+    def part(ids, **names):
+        return [record(i, **{name: f"{what}{i}" for what, name in names.items()}) for i in ids]
+
+    target = {**KEY, "answer": "string", "note": "string"}
+    files = [
+        ("f", "f1", 1, part(range(4), a="answer", n="note")), ("f", "f2", 2, part(range(2, 6), a="value", n="note")), ("f", "f3", 3, part(range(4, 8), a="value", n="note")),
+        ("g", "g1", 1, part(range(10, 14), a="answer", n="note")), ("g", "g2", 2, part(range(12, 16), a="answer", n="value")),
+        ("h", "h1", 1, part(range(20, 24), a="answer", n="note")), ("h", "h2", 2, part(range(22, 26), a="text", n="note")), ("h", "h3", 3, part(range(24, 28), a="text", n="memo")),
+        ("i", "i1", 1, part(range(30, 32), a="text")),
+    ]
+    table = drift.consistent_table(rows(spark, files), target)
+    for r in table.collect():
+        i = r.question[1:]
+        assert r.answer == f"a{i}", r
+        assert r.note == (None if r.feed == "i" else f"n{i}"), r
+        assert r._rescued == {}
+    assert table.count() == sum(len(x[3]) for x in files)
+
+
+def test_comparable_values(spark):
+    texts = ["5", '"5"', "[5]", '"[5]"', '{"a": 5}', '"{\\"a\\": 5}"', "5.0", '["x", "Y z"]', '"x,  y Z"', "null", '""', "[]", "true"]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(drift.comparable(F.col("t")).alias("v")).collect()]
+    assert len(set(got[:7])) == 1 and got[7] == got[8] and got[9:12] == [None] * 3 and got[12] is not None
+
+
 def test_unreadable_lines(spark):
     lines = rows(spark, [("f", "1", 1, ["{}", "", None, "x"]), ("f", "2", 1, ["{}"])])
     assert {(r.file_name, r.n_lines, r.n_unreadable) for r in drift.unreadable_lines(lines).collect()} == {("1", 4, 3), ("2", 1, 0)}
