@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once: an array of one binds it to a variable, which helps inside other lambdas, where nothing else does."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def safe_float(value: Column) -> Column:
     """The value as a double, or null if it isn't a number or is NaN (infinities stay)."""
     number = value.try_cast("double")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenloom.functions.values import bound
 from lumenloom.session import written
 
 #: Strict JSON: what a standard parser would refuse is unreadable here, too.
@@ -159,11 +160,15 @@ def comparable(text: Column) -> Column:
     5, "5", [5] and "[5]" become the same, as do an object and the list of its
     values. Null and empty values become null.
     """
-    keyless = F.when(text.contains('":') | text.rlike(r'"\s+:'), F.regexp_replace(text, r'\\*"[^"\\]*\\*"\s*:', " ")).otherwise(text)
+    keyless = F.when(text.contains('":') | text.contains('" '), F.regexp_replace(text, r'\\*"[^"\\]*\\*"\s*:', " ")).otherwise(text)
     bare = F.translate(keyless, '[]{}"\\,\t\n\r', " " * 10)
-    plain = F.lower(F.trim(F.when(bare.contains("  "), F.regexp_replace(bare, " +", " ")).otherwise(bare)))
-    number = F.when(F.substring(plain, 1, 1).isin(*"-0123456789") & plain.rlike(r"^-?[0-9][0-9.e+-]*$"), plain.try_cast("double"))
-    return F.when(~plain.isin("", "null"), F.xxhash64(F.coalesce(number.cast("string"), plain)))
+
+    def hashed(plain: Column) -> Column:
+        number = F.when(F.substring(plain, 1, 1).isin(*"-0123456789") & plain.rlike(r"^-?[0-9][0-9.e+-]*$"), plain.try_cast("double"))
+        return F.when(~plain.isin("", "null"), F.xxhash64(F.coalesce(number.cast("string"), plain)))
+
+    single = bound(bare, lambda b: F.when(b.contains("  "), F.regexp_replace(b, " +", " ")).otherwise(b))
+    return bound(F.lower(F.trim(single)), hashed)
 
 
 def present_fields(ingested: DataFrame, target: Mapping[str, str], record_key: Sequence[str]) -> DataFrame:
