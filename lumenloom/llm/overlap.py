@@ -1,10 +1,11 @@
 """Records of evaluation splits that also occur, exactly or nearly, in the training split.
 
-The content of every evaluation question is a passage; passages are sharded by
-document and rarest word. An Aho-Corasick automaton over a shard's passages
-scans the training texts that can belong to the shard, matched intervals are
-merged into coverage of each passage, and passages that are covered well enough
-are checked word by word.
+The content of every evaluation question is a passage. Passages are sharded by
+document and by the words that a repetition must share. An Aho-Corasick automaton
+over a shard's passages, with the spans of each passage as patterns, scans the
+training texts that can belong to the shard; the spans it finds are intervals of
+the passage, merged into the passage's coverage, and passages that are covered
+well enough are checked word by word.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.questions import Vocabulary, content, document_key, same_content
-from lumenloom.session import ensure_checkpoint_dir
+from lumenloom.session import written
 
 #: Least share of questions with a word for the word to count as known; at most about 20 / FREQUENT words are.
 FREQUENT = 0.001
+#: Most words in a span of a passage.
+SPAN = 3
 #: Passages in one automaton, and training texts scanned by one copy of it; shards beyond are divided.
 BLOCK, SLICE = 2_000, 20_000
 #: Share of a passage's letters that must be covered before it is checked word by word.
@@ -40,13 +43,19 @@ def vocabulary(rows: DataFrame, question: str = "question", frequent: float = FR
 
 
 def anchors(tokens: Sequence[str], words: Vocabulary) -> list[str]:
-    """The words by which a text is sharded: its rare ones, and the rarest known one if no rare word is surely none of the known."""
-    rare = sorted({t for t in tokens if not words.knows(t) and not t[-1].isdigit()})
-    if not any(not words.meant(t) for t in rare):
-        known = [t for t in tokens if t not in rare]
-        if known:
-            rare.append(min(known, key=lambda t: (words.counts.get(t, 0), t)))
-    return rare
+    """The keys by which a text is sharded; texts that ask the same share at least one.
+
+    Words that only themselves can match (`Vocabulary.fixed`: names, numbers,
+    places) must all be the same in both texts, so together they are one key, and
+    a shard holds only texts that differ in known words and slips of them,
+    however many texts the document has. A text without such words is sharded by
+    each of its known words and each word that it may have a slip of.
+    """
+    fixed = sorted(t for t in tokens if words.fixed(t))
+    if fixed:
+        return ["=" + " ".join(fixed)]
+    meant = {m for t in tokens for m in (words.meant(t) or words.loose(t) or (t,))}
+    return sorted(meant)
 
 
 def question_texts(rows: DataFrame, words: Vocabulary, train: Sequence[str] = ("train",), evaluation: Sequence[str] = ("val", "test")) -> DataFrame:
@@ -83,44 +92,56 @@ def question_texts(rows: DataFrame, words: Vocabulary, train: Sequence[str] = ("
     return picked.mapInArrow(run, "row_id bigint, split string, data_source string, is_train boolean, doc string, body string, anchors array<string>").withColumn("text_id", F.xxhash64("doc", "body"))
 
 
+def merged(intervals: list[tuple[int, int]]) -> int:
+    """The total length of intervals (start, end), overlaps counted once."""
+    covered, reach = 0, -1
+    for start, end in sorted(intervals):
+        if end > reach:
+            covered += end - max(start, reach)
+            reach = end
+    return covered
+
+
 class Shard:
-    """The automaton of one shard: finds the passages that a text covers."""
+    """The automaton over the passages of one shard: finds what of them a text repeats."""
 
     def __init__(self) -> None:
-        self.passages: list[tuple[int, list[str], int]] = []
-        self.holders: dict[str, list[int]] = {}
+        self.passages: list[tuple[int, list[str]]] = []
+        self.spans: dict[str, list[tuple[int, int, int]]] = {}
         self.automaton: ahocorasick.Automaton | None = None
 
     def add(self, text_id: int, tokens: list[str]) -> None:
-        """Adds an evaluation passage; its words are the automaton's patterns."""
+        """Adds an evaluation passage; its spans of up to SPAN words are patterns, each with its interval in the passage."""
         at = len(self.passages)
-        self.passages.append((text_id, tokens, sum(map(len, tokens))))
-        for token in set(tokens):
-            self.holders.setdefault(token, []).append(at)
+        self.passages.append((text_id, tokens))
+        ends = [0]
+        for token in tokens:
+            ends.append(ends[-1] + len(token))
+        for i in range(len(tokens)):
+            for j in range(i + 1, min(len(tokens), i + SPAN) + 1):
+                self.spans.setdefault(" ".join(tokens[i:j]), []).append((at, ends[i], ends[j]))
 
     def covered(self, tokens: Sequence[str], least: float) -> Iterator[tuple[int, float]]:
-        """Passages of which the text covers at least the share `least`, with the share.
+        """Passages of which the text repeats at least the share `least`, with the share.
 
-        Intervals that the automaton matches in the text are merged, and each
-        passage is credited with the letters of its words inside them.
+        Every span that the automaton finds in the text is an interval of the
+        passages that hold it; a passage's intervals are merged, and their length
+        over the passage's letters is its coverage.
         """
-        if not self.holders:  # by chance no passage fell into this block
+        if not self.spans:  # by chance no passage fell into this block
             return
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
-            for token in self.holders:
-                self.automaton.add_word(f" {token} ", token)
+            for span in self.spans:
+                self.automaton.add_word(f" {span} ", span)
             self.automaton.make_automaton()
-        text = " " + "  ".join(tokens) + " "
-        intervals: dict[str, tuple[int, int]] = {}
-        for end, token in self.automaton.iter(text):
-            intervals.setdefault(token, (end - len(token), end))
-        credit: dict[int, int] = {}
-        for token, (start, end) in intervals.items():
-            for at in self.holders[token]:
-                credit[at] = credit.get(at, 0) + (end - start) * self.passages[at][1].count(token)
-        for at, letters in credit.items():
-            share = min(1.0, letters / self.passages[at][2])
+        found = {span for _, span in self.automaton.iter(f" {' '.join(tokens)} ")}
+        intervals: dict[int, list[tuple[int, int]]] = {}
+        for span in found:
+            for at, start, end in self.spans[span]:
+                intervals.setdefault(at, []).append((start, end))
+        for at, parts in intervals.items():
+            share = merged(parts) / sum(map(len, self.passages[at][1]))
             if share >= least:
                 yield at, share
 
@@ -173,10 +194,9 @@ def scan(texts: DataFrame, words: Vocabulary, least_coverage: float = LEAST_COVE
 
 
 def _prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows' normalised texts, checkpointed, and the links between distinct texts."""
-    ensure_checkpoint_dir(rows.sparkSession)
+    """The rows with the id of their normalised text, written once, and the links between distinct texts."""
     words = vocabulary(rows)
-    texts = question_texts(rows, words).checkpoint()
+    texts = written(question_texts(rows, words))
     distinct = texts.dropDuplicates(["text_id", "is_train"]).select("text_id", "is_train", "doc", "body", "anchors")
     return texts, scan(distinct, words)
 

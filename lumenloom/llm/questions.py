@@ -74,13 +74,39 @@ class Vocabulary:
             if len(word) >= 3:
                 for key in self._keys(word):
                     self._by_letters.setdefault(key, []).append(word)
+        self._long: dict[str, list[str]] = {}
+        for word in self.counts:
+            if len(word) >= 8:
+                for key in self._shorter(word):
+                    self._long.setdefault(key, []).append(word)
         self._seen: dict[str, frozenset[str]] = {}
+        self._loose: dict[str, frozenset[str]] = {}
 
     @staticmethod
     def _keys(word: str) -> set[str]:
         """Words one slip apart share a key: a letter dropped, or the word itself."""
         return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
+    @classmethod
+    def _shorter(cls, word: str) -> set[str]:
+        """Words two slips apart share a key: at most two letters dropped."""
+        return {k for key in cls._keys(word) for k in cls._keys(key)}
+
+    def loose(self, word: str) -> frozenset[str]:
+        """The long known words that lie within two slips of an unknown one."""
+        if len(word) < 8 or not word.isalpha() or self.knows(word):
+            return frozenset()
+        found = self._loose.get(word)
+        if found is None:
+            if len(self._loose) >= self.memory:
+                self._loose.clear()
+            found = self._loose[word] = frozenset(w for w in {w for key in self._shorter(word) for w in self._long.get(key, ())} if two_slips(word, w))
+        return found
+
+    def fixed(self, word: str) -> bool:
+        """Whether only the very same word can match this one in another question: names, numbers and places, but no known word and nothing that may be a slip of one."""
+        return not (self.knows(word) or self.meant(word) or self.loose(word))
+
     def knows(self, word: str) -> bool:
         """Whether the word is frequent, a frame word or a place word."""
         return word in self.counts or word in FRAME_WORDS or word in _PLACES

@@ -77,3 +77,33 @@ def test_coverage(spark):
     rows = [(1, "d", "What is the depth of Bardo?", "train", "s", 0), (2, "d", "State the depth of Bardo.", "val", "s", 0), (3, "d", "State the depth of Kelso.", "val", "s", 0)]
     got = overlap.evaluation_coverage(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.row_id, r.coverage, r.n_texts) for r in got] == [(2, 1.0, 1)]
+
+
+def test_repetitions_share_a_shard():
+    words = Vocabulary({w: 100 for w in "temperature insurance value boiler pressure station bardo floor area".split()})
+    slipped = [
+        (["insurance", "value", "kelso"], ["insuranze", "value", "kelso"]), (["temperature", "bardo"], ["tempreatrue", "bardo"]), (["boiler", "pressure"], ["boilr", "pressure"]),
+        (["temperature", "station"], ["tempreatrue", "station"]), (["floor", "area", "page7"], ["area", "flor", "page7"]), (["value", "x9"], ["value", "x9", "teh"]),
+    ]
+    for a, b in slipped:
+        assert same_content(a, b, words)
+        assert set(overlap.anchors(a, words)) & set(overlap.anchors(b, words)), (a, b)
+    assert overlap.anchors(["floor", "kelso", "page7"], words) == overlap.anchors(["page7", "area", "kelso"], words) == ["=kelso page7"]
+
+
+def test_intervals_are_merged_into_coverage():
+    assert overlap.merged([(0, 3), (2, 5), (5, 6), (9, 10), (0, 1)]) == 7
+    shard = overlap.Shard()
+    shard.add(1, ["floor", "area", "bardo", "bridge"])
+    shard.add(2, ["kelso"])
+    assert dict(shard.covered(["bridge", "floor", "area"], 0.1)) == {0: pytest.approx(15 / 20)}
+    assert dict(shard.covered(["floor", "area", "bardo", "bridge", "kelso"], 0.9)) == {0: 1.0, 1: 1.0}
+    assert dict(overlap.Shard().covered(["a"], 0.1)) == {}
+
+
+def test_a_hot_document_scales_with_its_texts(spark):
+    words = Vocabulary({"floor": 1, "area": 1, "depth": 1})
+    rows = [(i, "hot", f"{'floor area' if i % 2 else 'depth'} of n{i // 4 % 1000:05d}x", "train" if i % 3 else "val", "s", 0) for i in range(8000)]
+    texts = overlap.question_texts(spark.createDataFrame(rows, SCHEMA), words)
+    sizes = texts.selectExpr("explode(anchors) as a", "text_id").distinct().groupBy("a").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 2  # a shard holds the two properties of one name
