@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenloom.functions.values import bound
+
 
 def _at(box: Column, i: int) -> Column:
     return F.get(box, F.lit(i))
@@ -81,22 +83,21 @@ def union_area(boxes: Column) -> Column:
     them, all inside the JVM. Meant for arrays of tens of boxes.
     """
     good = F.filter(F.coalesce(boxes, F.array().cast("array<array<double>>")), lambda b: area(b) > 0)
-    xs = F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda b: F.array(_at(b, 0), _at(b, 2))))))
-    ys = F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda b: F.array(_at(b, 1), _at(b, 3))))))
-
-    def cells(bound: Column) -> Column:
-        return F.zip_with(F.slice(bound, 1, F.greatest(F.size(bound) - 1, F.lit(0))), F.slice(bound, 2, F.greatest(F.size(bound) - 1, F.lit(0))), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
-
-    def column_area(bound: tuple[Column, Column, Column], x: Column) -> Column:
-        good_, ycells = bound[0], bound[1]
-        over = F.filter(good_, lambda b: (_at(b, 0) <= x["lo"]) & (_at(b, 2) >= x["hi"]))
-        tall = F.aggregate(
-            ycells, F.lit(0.0),
-            lambda acc, y: acc + F.when(F.exists(over, lambda b: (_at(b, 1) <= y["lo"]) & (_at(b, 3) >= y["hi"])), y["hi"] - y["lo"]).otherwise(F.lit(0.0)),
-        )
-        return tall * (x["hi"] - x["lo"])
-
-    return F.aggregate(cells(xs), F.lit(0.0), lambda acc, x: acc + column_area((good, cells(ys), good), x))
+
+    def cells(of: Column, low: int) -> Column:
+        """The stretches between neighbouring distinct coordinates."""
+        edges = F.array_sort(F.array_distinct(F.flatten(F.transform(of, lambda b: F.array(_at(b, low), _at(b, low + 2))))))
+        return bound(edges, lambda e: F.zip_with(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))))
+
+    def tall(over: Column, ys: Column) -> Column:
+        return F.aggregate(ys, F.lit(0.0), lambda acc, y: acc + F.when(F.exists(over, lambda b: (_at(b, 1) <= y["lo"]) & (_at(b, 3) >= y["hi"])), y["hi"] - y["lo"]).otherwise(F.lit(0.0)))
+
+    def swept(of: Column, xs: Column, ys: Column) -> Column:
+        column = lambda x: F.filter(of, lambda b: (_at(b, 0) <= x["lo"]) & (_at(b, 2) >= x["hi"]))
+        return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + bound(column(x), lambda over: tall(over, ys)) * (x["hi"] - x["lo"]))
+
+    # Boxes and stretches are bound, else they would be worked out anew for every column of cells.
+    return bound(good, lambda of: bound(F.struct(cells(of, 0).alias("xs"), cells(of, 1).alias("ys")), lambda c: swept(of, c["xs"], c["ys"])))
 
 
 def resize(width: Column, height: Column, factor: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import geometry as G
-from lumenloom.functions.values import share
 
 
 def crop_pairs(crops: DataFrame, conv: str = "conv", source: str = "page", step: str = "step", box: str = "box") -> DataFrame:
@@ -26,29 +25,6 @@ def redundancy(crops: DataFrame, threshold: float, conv: str = "conv") -> DataFr
     return pairs.groupBy(conv).agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("iou") >= threshold, 1)).alias("redundant"), F.max("iou").alias("max_iou"), F.avg("iou").alias("mean_iou"))
 
 
-def zoom_area(crops: DataFrame, page_area: float, conv: str = "conv", page: str = "page", box: str = "box") -> DataFrame:
-    """Per conversation: area covered by its crops, summed over pages, and its share of the zoomed pages' area."""
-    per_page = crops.groupBy(conv, page).agg(G.union_area(F.collect_list(box)).alias("covered"))
-    return per_page.groupBy(conv).agg(F.count(F.lit(1)).alias("pages"), F.sum("covered").alias("covered"), share(F.sum("covered"), F.count(F.lit(1)) * page_area).alias("covered_share"))
-
-
-def evidence_match(crops: DataFrame, evidence: DataFrame, threshold: float, conv: str = "conv", page: str = "page") -> DataFrame:
-    """Per conversation with evidence: best iou and coverage of evidence by a crop on its page, pages hit, crops that hit.
-
-    Coverage is the share of an evidence box inside a crop. Conversations
-    without crops have null best values and no hits.
-    """
-    boxes = evidence.select(conv, page, F.col("box").alias("evidence_box"))
-    met = boxes.join(crops.select(conv, page, "step", F.col("box").alias("crop_box")), [conv, page], "left")
-    inter = G.overlap(F.col("crop_box"), F.col("evidence_box"))
-    coverage = F.try_divide(inter, G.area(F.col("evidence_box")))
-    met = met.withColumns({"coverage": coverage, "iou": F.when(F.col("crop_box").isNotNull(), G.iou(F.col("crop_box"), F.col("evidence_box")))})
-    return met.groupBy(conv).agg(
-        F.max("iou").alias("max_iou"), F.max("coverage").alias("max_coverage"), F.count_distinct(F.when(F.col("step").isNotNull(), F.col(page))).alias("pages_hit"),
-        F.count_distinct(F.when(F.col("coverage") >= threshold, F.col("step"))).alias("covering_crops"),
-    )
-
-
 def first_hits(crops: DataFrame, evidence: DataFrame, threshold: float, conv: str = "conv", page: str = "page") -> DataFrame:
     """Per conversation with evidence: first step on any evidence page, step by which all were seen, first covering step, crops after the first hit.
 

@@ -293,32 +293,6 @@ def crop_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.redundancy(crops(spark, sf_dir), 0.3))
 
 
-_CELLS = f"""WITH {CROPS}, xs AS (SELECT DISTINCT conv, page, x FROM (SELECT conv, page, x1 AS x FROM crops UNION ALL SELECT conv, page, x2 FROM crops)),
-  ys AS (SELECT DISTINCT conv, page, y FROM (SELECT conv, page, y1 AS y FROM crops UNION ALL SELECT conv, page, y2 FROM crops)),
-  xc AS (SELECT conv, page, x AS lo, lead(x) OVER (PARTITION BY conv, page ORDER BY x) AS hi FROM xs), yc AS (SELECT conv, page, y AS lo, lead(y) OVER (PARTITION BY conv, page ORDER BY y) AS hi FROM ys),
-  cells AS (SELECT DISTINCT xc.conv, xc.page, xc.lo AS xl, xc.hi AS xh, yc.lo AS yl, yc.hi AS yh FROM xc JOIN yc ON xc.conv = yc.conv AND xc.page = yc.page
-    JOIN crops c ON c.conv = xc.conv AND c.page = xc.page AND c.x1 <= xc.lo AND c.x2 >= xc.hi AND c.y1 <= yc.lo AND c.y2 >= yc.hi),
-  pages AS (SELECT conv, page, sum((xh - xl) * (yh - yl)) AS covered FROM cells GROUP BY ALL)"""
-
-
-@REGISTRY.add("zoom_union_area", sql=_CELLS + " SELECT conv, count(*) AS pages, round(sum(covered), 4) AS covered, round(sum(covered) / (count(*) * 10000.0), 6) AS covered_share FROM pages GROUP BY conv")
-def zoom_union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area that a conversation's crops cover, overlaps counted once."""
-    return audit.zoom_area(crops(spark, sf_dir), 10000.0).withColumns({"covered": F.round("covered", 4), "covered_share": F.round("covered_share", 6)})
-
-
-@REGISTRY.add(
-    "evidence_match",
-    sql=f"""WITH {CROPS}, {EVIDENCE}, m AS (SELECT e.conv, e.page, c.step, CASE WHEN c.conv IS NOT NULL THEN {_iou_sql("c", "e")} END AS iou,
-      {_INTER.format(a="c", b="e")} / nullif({_AREA.format(a="e")}, 0) AS coverage FROM evidence e LEFT JOIN crops c ON c.conv = e.conv AND c.page = e.page)
-      SELECT conv, round(max(iou), 6) AS max_iou, round(max(CASE WHEN step IS NOT NULL THEN coverage END), 6) AS max_coverage, count(DISTINCT page) FILTER (step IS NOT NULL) AS pages_hit,
-      count(DISTINCT step) FILTER (step IS NOT NULL AND coverage >= 0.3) AS covering_crops FROM m GROUP BY conv""",
-)
-def evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best match of crops with evidence boxes on their page."""
-    return rounded(audit.evidence_match(crops(spark, sf_dir), evidence(spark, sf_dir), 0.3))
-
-
 @REGISTRY.add(
     "evidence_first_hit",
     sql=f"""WITH {CROPS}, {EVIDENCE}, p AS (SELECT e.conv, e.page, min(c.step) AS first, min(c.step) FILTER ({_INTER.format(a="c", b="e")} / nullif({_AREA.format(a="e")}, 0) >= 0.3) AS covered

@@ -153,9 +153,6 @@ def test_audit(spark):
     hits = {r.conv: r for r in audit.first_hits(seen, evidence, 0.5).collect()}
     assert (hits[1].any_step, hits[1].all_step, hits[1].cover_step, hits[1].extra_after_any) == (2, 3, 2, 2)
     assert (hits[7].any_step, hits[7].all_step, hits[7].cover_step, hits[7].extra_after_any) == (None, None, None, None)
-    match = {r.conv: r for r in audit.evidence_match(seen, evidence, 0.5).collect()}
-    assert (match[1].max_iou, match[1].pages_hit, match[1].covering_crops) == (1.0, 2, 3)
-    assert (match[7].max_iou, match[7].max_coverage, match[7].pages_hit) == (None, None, 0)
     assert audit.redundancy(seen, 0.5).first().redundant == 1
     stuck = audit.stuck(audit.tail_run(seen).withColumn("limit", F.lit(None).cast("int")), "limit").first()
     assert stuck.stuck is None
