@@ -30,8 +30,9 @@ BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits a text before byte-level merges.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words, and stretches between blanks, whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+#: Words, and stretches between blanks, whose ids a worker remembers, and the longest of them; so a memory holds
+#: at most their product of characters and four bytes' worth of ids for each.
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
 
 
 def read_ranks(path: str | Path) -> bytes:
@@ -211,7 +212,7 @@ class Transducer:
 
 
 class _Memory(dict):
-    """Remembers a function's results, at most REMEMBERED of them."""
+    """Remembers a function's results for short keys, at most REMEMBERED of them; long keys are worked out each time."""
 
     def __init__(self, function) -> None:
         super().__init__()
@@ -219,6 +220,8 @@ class _Memory(dict):
 
     def __missing__(self, key):
         value = self.function(key)
+        if len(key) > LONGEST_REMEMBERED:
+            return value
         if len(self) >= REMEMBERED:
             self.clear()
         self[key] = value

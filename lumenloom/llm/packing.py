@@ -167,3 +167,15 @@ def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
         "capacity_id", "capacity_tokens", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"),
         (F.col("containers") * F.col("capacity_tokens") - F.col("tokens")).alias("unused"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"),
     )
+
+
+def packing_checks(packed: DataFrame, capacities: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Per capacity: n_documents in the packing, n_overfull containers, n_wrongly_divided texts (in pieces though they fit), n_gaps (texts whose pieces don't lie end to end)."""
+    rooms = F.broadcast(capacities.select("capacity_id", "capacity_tokens"))
+    over = packed.groupBy("capacity_id", "container").agg(F.sum("n_tokens").alias("tokens")).join(rooms, "capacity_id").groupBy("capacity_id").agg(F.count(F.when(F.col("tokens") > F.col("capacity_tokens"), 1)).alias("n_overfull"))
+    texts = packed.groupBy("capacity_id", id_column).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start") + F.col("n_tokens")).alias("reach"), F.count_distinct("start").alias("starts")).join(rooms, "capacity_id")
+    per = texts.groupBy("capacity_id").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens")), 1)).alias("n_wrongly_divided"),
+        F.count(F.when((F.col("reach") != F.col("tokens")) | (F.col("starts") != F.col("pieces")), 1)).alias("n_gaps"),
+    )
+    return per.join(over, "capacity_id").select("capacity_id", "n_documents", "n_overfull", "n_wrongly_divided", "n_gaps")

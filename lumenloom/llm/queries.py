@@ -101,7 +101,7 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-@REGISTRY.add("p5_round_trip")
+@REGISTRY.add("p5_round_trip", sql="SELECT source, count(*) AS n_documents, count(*) AS n_same FROM documents GROUP BY source")
 def p5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per source whose decoded ids give their text back (null texts give an empty one)."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -128,6 +128,16 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
 
 
+@REGISTRY.add(
+    "p6_checks",
+    sql="""SELECT capacity_id, (SELECT count(*) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_wrongly_divided, CAST(0 AS BIGINT) AS n_gaps
+      FROM pack_capacities WHERE capacity_tokens >= 1""",
+)
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a packing: every document in it, no container overfull, no text divided that fits, no piece missing."""
+    return packing.packing_checks(_packed(spark, sf_dir), table(spark, sf_dir, "pack_capacities"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return harm.score_corpus(documents, harm.fit(documents, table(spark, sf_dir, "review_labels")))

@@ -139,6 +139,17 @@ def test_pack_corpus(spark):
     assert {r.doc_id for r in rows if r.capacity_id == 1} == {r.doc_id for r in sizes.collect()}
     assert {tuple(r) for r in packing.pack_corpus(sizes.repartition(3), capacities, shard_items=200).collect()} == {tuple(r) for r in rows}
     report = {r.capacity_id: r for r in packing.fill_report(packed, capacities).collect()}
+    checks = {r.capacity_id: tuple(r)[1:] for r in packing.packing_checks(packed, capacities).collect()}
+    assert checks == {1: (502, 0, 0, 0), 2: (502, 0, 0, 0)}
     assert report[1].fill > 0.9 and report[1].containers >= report[1].least_containers
     assert packing.pack_corpus(sizes.limit(0), capacities).count() == 0
     assert packing.pack_corpus(sizes, capacities.limit(0)).count() == 0
+
+
+@needs_vocabulary
+def test_long_stretches_are_not_remembered():
+    coder = bpe.encoder(bpe.read_ranks(VOCABULARY))
+    text = "short words " + "x" * 30_000 + " " + "\u6587" * 5_000
+    ids = list(coder.ids(text))
+    assert ids == list(coder.ids(text))
+    assert max(map(len, coder._stretches)) <= bpe.LONGEST_REMEMBERED and max(map(len, coder._words)) <= bpe.LONGEST_REMEMBERED
