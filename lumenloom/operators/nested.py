@@ -9,7 +9,7 @@ by tag, and a schema is applied to each tag when it is read back.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -73,6 +73,17 @@ def _items(value: object, path: Sequence[str]) -> list:
     return [value] if isinstance(value, dict) else []
 
 
+def without(value: object, paths: Sequence[Sequence[str]]) -> object:
+    """A record without what lies at the ends of the paths, JSON text on the way decoded."""
+    if not isinstance(value, dict):
+        return value
+    gone = {p[0] for p in paths if len(p) == 1}
+    out = {k: v for k, v in value.items() if k not in gone}
+    for step in {p[0] for p in paths if len(p) > 1 and p[0] in out}:
+        out[step] = without(decode(out[step]), [p[1:] for p in paths if p[0] == step and len(p) > 1])
+    return out
+
+
 Emit = Callable[[str, str, str, int, int, object], None]
 
 
@@ -102,12 +113,14 @@ def visit(value: object, tables: Sequence[ChildTable], key: str, number: int, em
 def shred(records: DataFrame, tables: Sequence[ChildTable], id_column: str, json_column: str, *, root: str | None = None, body: bool = True) -> DataFrame:
     """Tagged rows of all tables, in a single pass over the records.
 
-    Result: `id_column` as it was, then tag, pk, parent_pk, parent_no, child_no
-    and body (the element as JSON text). child_no is the place in the array from
+    Result: `id_column` as it was, then tag, pk (unique in all tables if the ids
+    are: the id and the places on the way, '' for a null id), parent_pk, parent_no,
+    child_no and body (the element as JSON text). child_no is the place in the array from
     0, null elements counted but not emitted; parent_no the parent's place, -1
     where the parent is the record itself or isn't found (of several elements
     with the named id the first is the parent). With `root`, each readable
-    record is also a row of that tag, its body without the arrays of `tables`.
+    record is also a row of that tag, its body without the arrays of `tables`, which
+    have rows of their own.
     `body=False` leaves the body null, which saves encoding it.
 
     Null, empty and unreadable records, and those that aren't an object, give no
@@ -122,8 +135,8 @@ def shred(records: DataFrame, tables: Sequence[ChildTable], id_column: str, json
         for batch in batches:
             sources: list[int] = []
             rows: list[tuple] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                record = decode(text)
+            for i, (own, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                key, record = "" if own is None else str(own), decode(text)
                 if not isinstance(record, dict):
                     continue
 
@@ -132,8 +145,8 @@ def shred(records: DataFrame, tables: Sequence[ChildTable], id_column: str, json
                     rows.append((*row[:5], encode(row[5])))
 
                 if root:
-                    emit(root, "", None, -1, 0, {k: v for k, v in record.items() if k not in {t.path[0] for t in tables}})
-                visit(record, tables, "", -1, emit)
+                    emit(root, key, None, -1, 0, without(record, [t.path for t in tables]))
+                visit(record, tables, key, -1, emit)
             columns = list(zip(*rows)) if rows else [()] * 6
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
@@ -168,7 +181,23 @@ def apply_schema(rows: DataFrame, schema: str) -> DataFrame:
     )
 
 
-#: Fields of an object that is a box, at any depth.
+def link_report(tables: Mapping[str, DataFrame], root: str) -> DataFrame:
+    """Per table: n_rows, n_keys (distinct pk), n_typed (rows of which some field was read) and n_linked (rows whose parent is in one of the tables, or that need none)."""
+    out = []
+    for tag, rows in tables.items():
+        read = [c for c in rows.columns if c not in ("pk", "parent_pk", "parent_no", "child_no", "body")][1:]
+        typed = F.greatest(F.lit(0), F.lit(0), *[F.col(f"`{c}`").isNotNull().cast("int") for c in read])
+        out.append(rows.select(F.lit(tag).alias("tag"), "pk", "parent_pk", typed.alias("typed")))
+    every = out[0]
+    for part in out[1:]:
+        every = every.unionByName(part)
+    keys = every.select(F.col("pk").alias("_pk")).distinct()
+    joined = every.join(keys, F.col("parent_pk") == F.col("_pk"), "left")
+    linked = F.col("_pk").isNotNull() | (F.col("tag") == root)
+    return joined.groupBy("tag").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pk").alias("n_keys"), F.sum("typed").cast("bigint").alias("n_typed"), F.count(F.when(linked, 1)).alias("n_linked"))
+
+
+# Fields of an object that is a box, at any depth.
 BOX_FIELDS = ("left", "top", "width", "height", "page")
 
 

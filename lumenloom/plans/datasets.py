@@ -165,18 +165,17 @@ def unanswerable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "manifest").select("row_id", by_record.alias("by_record"), by_output.alias("by_output"))
 
 
-_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+# What counts as white space between words.
+_SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda w: w <> '')"
 
 
 @REGISTRY.add(
     "text_statistics",
-    sql=f"""SELECT doc_id, length(text) AS n_chars, len({_WORDS}) AS n_words, len(list_distinct({_WORDS})) AS n_unique, CAST(ceil(len({_WORDS}) / 0.75) AS BIGINT) AS token_estimate FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\t\\n\\f\\r\\x20-\\x7e]*$')""",
+    sql=f"SELECT doc_id, length(text) AS n_chars, len({_WORDS}) AS n_words, len(list_distinct({_WORDS})) AS n_unique, CAST(ceil(len({_WORDS}) / 0.75) AS BIGINT) AS token_estimate FROM documents",
 )
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters, words, distinct words and estimated tokens of every document; a null text has null characters and no words.
-
-    The SQL covers only the printable ASCII texts, on which the engines agree on white space.
-    """
+    """Characters, words, distinct words and estimated tokens of every document; a null text has null characters and no words."""
     words = T.split_words(F.col("text"))
     rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.size(words).cast("bigint").alias("n_words"), F.size(F.array_distinct(words)).cast("bigint").alias("n_unique"), T.token_estimate(F.col("text")).alias("token_estimate"))
@@ -236,7 +235,7 @@ def next_message_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.training_rows(conversations.collect(_messages(spark, sf_dir), "conv", "step"), {"odd_conversation": F.col("conv") % 11 == 0})
+    return conversations.training_rows(conversations.collect(_messages(spark, sf_dir), "conv", "step"))
 
 
 @REGISTRY.add("convert_conversations")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.operators import drift, nested
 from lumenloom.plans.registry import Registry, table
+from lumenloom.session import scratch
 
 REGISTRY = Registry()
 
@@ -71,8 +72,43 @@ def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.shred(table(spark, sf_dir, "export_payloads"), PAYLOAD_TABLES, "payload_id", "payload", root="payload")
 
 
+#: The fields that each table's elements are read into; what else an element holds stays in its body.
+PAYLOAD_SCHEMAS = {
+    "payload": "request_id string, conversation_export_id string, raw_prompt string, messages string, actual_initial_rescale double, initial_rescale_metadata string, extra_info string, critical_failure boolean, final_failure_reasons array<string>",
+    "presented_image_refs": "presented_img_idx string, parent_presented_img_idx string, kind string, source_original_img_idx int, bbox_on_original array<int>, display_size array<int>, original_size array<int>, region_description string, zoom_in_factor double",
+    "question_involved_visual_details": "kind string, page int, caption string",
+    "question_involved_visual_details.regions": "bbox array<double>, label string",
+    "failure_events": "kind string, status string, state string, tool_name string, error_type string, error_message string, prompt_tokens int, requested_max_tokens int, available_new_tokens int, prompt_length_limit int",
+    "failure_events.per_image": "img int, tokens int",
+}
+
+
+def _typed(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
+    return nested.apply_schema(p4_tables(spark, sf_dir).where(F.col("tag") == tag), PAYLOAD_SCHEMAS[tag])
+
+
 @REGISTRY.add("p4_crops")
 def p4_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of presented images with its schema applied."""
-    tagged = nested.shred(table(spark, sf_dir, "export_payloads"), PAYLOAD_TABLES[:1], "payload_id", "payload")
-    return nested.apply_schema(tagged, "kind string, source_original_img_idx int, bbox_on_original array<int>, display_size array<int>, original_size array<int>, region_description string, zoom_in_factor double")
+    return _typed(spark, sf_dir, "presented_image_refs")
+
+
+@REGISTRY.add("p4_regions")
+def p4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of regions of the visual details with its schema applied."""
+    return _typed(spark, sf_dir, "question_involved_visual_details.regions")
+
+
+@REGISTRY.add("p4_events")
+def p4_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of failure events with its schema applied."""
+    return _typed(spark, sf_dir, "failure_events")
+
+
+@REGISTRY.add("p4_store")
+def p4_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables written partitioned by tag in one pass, read back with their schemas, and held against each other: rows, keys, typed rows and links of each."""
+    path = scratch(spark)
+    nested.write_tagged(p4_tables(spark, sf_dir), path)
+    tables = {tag: nested.read_table(spark, path, tag, schema) for tag, schema in PAYLOAD_SCHEMAS.items()}
+    return nested.link_report(tables, "payload")

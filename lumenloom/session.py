@@ -51,14 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """The rows as a table written to the checkpoint folder: a lineage cut that is stored by column, so that later readers read only what they use.
-
-    The table is removed when the driver ends.
-    """
-    spark = rows.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, for what a query writes and reads again; it is removed when the driver ends."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lumenloom-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
 
     def remove() -> None:
         with contextlib.suppress(Exception):  # the session may have ended before
@@ -66,7 +61,14 @@ def written(rows: DataFrame) -> DataFrame:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
     atexit.register(remove)
-    return spark.read.parquet(path)
+    return path
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a table written to the checkpoint folder: a lineage cut that is stored by column, so that later readers read only what they use."""
+    path = scratch(rows.sparkSession)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def ship_package(spark: SparkSession) -> str:

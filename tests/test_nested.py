@@ -1,7 +1,7 @@
 import json
 
 from lumenloom.operators import nested
-from lumenloom.plans.training_data import PAYLOAD_TABLES
+from lumenloom.plans.training_data import PAYLOAD_SCHEMAS, PAYLOAD_TABLES
 
 
 def shredded(spark, payloads):
@@ -49,7 +49,7 @@ def test_tagged_store_round_trip(spark, tmp_path):
     nested.write_tagged(nested.shred(df, PAYLOAD_TABLES, "payload_id", "payload"), str(tmp_path / "store"))
     table = nested.read_table(spark, str(tmp_path / "store"), "presented_image_refs", "kind string, pk string, absent int")
     row = table.first()
-    assert (row.kind, row.body_pk, row.absent, row.pk) == ("initial", "own", None, "/presented_image_refs:0")
+    assert (row.kind, row.body_pk, row.absent, row.pk) == ("initial", "own", None, "1/presented_image_refs:0")
 
 
 def test_boxes_anywhere(spark):
@@ -59,3 +59,15 @@ def test_boxes_anywhere(spark):
         deep = {"a": [deep]}
     df = spark.createDataFrame([(1, json.dumps([deep, {**box, "width": 0}, {**box, "page": None}])), (2, None), (3, "{")], "id int, text string")
     assert [(r.id, r.page, r.box) for r in nested.harvest_boxes(df, "id", "text").collect()] == [(1, 5, [1.0, 2.0, 4.0, 6.0])]
+
+
+def test_all_tables_are_linked(spark, tmp_path):
+    payloads = [{"extra_info": json.dumps({"question": "q", "question_involved_visual_details": [{"kind": "map", "regions": [{"bbox": [1.0], "label": "l"}]}]}), "presented_image_refs": [{"presented_img_idx": 0}, {"parent_presented_img_idx": 0}], "failure_events": []}] * 2
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "payload_id bigint, payload string")
+    nested.write_tagged(nested.shred(df, PAYLOAD_TABLES, "payload_id", "payload", root="payload"), str(tmp_path / "store"))
+    tables = {tag: nested.read_table(spark, str(tmp_path / "store"), tag, schema) for tag, schema in PAYLOAD_SCHEMAS.items()}
+    report = {r.tag: tuple(r)[1:] for r in nested.link_report(tables, "payload").collect()}
+    assert report == {
+        "payload": (2, 2, 2, 2), "presented_image_refs": (4, 4, 4, 4), "question_involved_visual_details": (2, 2, 2, 2), "question_involved_visual_details.regions": (2, 2, 2, 2),
+    }
+    assert json.loads(tables["payload"].first().extra_info) == {"question": "q"}
