@@ -85,3 +85,43 @@ def normalised_pages(pages: Column, one_based: Column, start: Column | None = No
     """Pages as positions among the input images: one less where they count from 1, and relative to the first page of a slice."""
     shift = F.when(one_based, 1).otherwise(0) + (F.coalesce(start, F.lit(0)) if start is not None else F.lit(0))
     return F.array_sort(F.array_distinct(F.filter(F.transform(pages, lambda p: p - shift), lambda p: p >= 0)))
+
+
+def corners(box: Column) -> Column:
+    """A box given as x, y, width, height as [x1, y1, x2, y2]."""
+    x, y = F.get(box, F.lit(0)), F.get(box, F.lit(1))
+    return F.array(x, y, x + F.get(box, F.lit(2)), y + F.get(box, F.lit(3)))
+
+
+def question_with_options(question: Column, options: Column) -> Column:
+    """A question and its options on the next line, line breaks written as \\n made real."""
+    return F.replace(F.concat(question, F.lit("\n"), options), F.lit("\\n"), F.lit("\n"))
+
+
+#: How each kind of benchmark is read: its question, its id, and the further fields of extra_info.
+BENCHMARKS = {
+    "multiple_choice": {"question": "options", "id": "question_id", "extra": ("subset",)},
+    "search": {"question": "options", "id": "question_id", "extra": ("category", "bboxes")},
+    "collage": {"question": "plain", "id": "index", "extra": ("qa_pairs", "n_layouts", "layout_types", "core_layout_coord", "core_target_bbox", "has_ref")},
+    "region": {"question": "description", "id": "question_id", "extra": ("search_target", "bboxes")},
+}
+
+
+def benchmark_rows(rows: DataFrame, kind: str, data_source: str, root: str = "") -> DataFrame:
+    """Rows of a benchmark as data_source, question, answer, image (file:// URL) and extra_info.
+
+    `kind` (BENCHMARKS) tells how: multiple_choice and search join the question
+    with its options, search takes its boxes as corners, collage takes its row
+    index as id and says has_ref, region asks for its description and answers
+    with its box. A field that a kind knows and the rows lack is null.
+    """
+    spec = BENCHMARKS[kind]
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    question = {"options": question_with_options(has("question"), has("options")), "plain": has("question"), "description": has("region_description")}[spec["question"]]
+    numbers = lambda b: F.concat(F.lit("["), F.array_join(F.transform(b, lambda v: v.cast("string")), ", "), F.lit("]"))
+    boxes = F.transform(F.col("boxes"), corners) if kind == "search" and "boxes" in rows.columns else F.array(F.col("bbox")) if kind == "region" else F.lit(None).cast("array<array<double>>")
+    known = {"bboxes": boxes, "has_ref": F.lit(True), "search_target": has("region_description")}
+    extra = F.struct(question.alias("question"), has(spec["id"]).cast("string").alias("question_id"), *[known.get(c, has(c)).alias(c) for c in spec["extra"]])
+    answer = numbers(F.col("bbox")) if kind == "region" else has("answer")
+    image = F.concat(F.lit(f"file://{root.rstrip('/')}/"), has("image"))
+    return rows.select(F.lit(data_source).alias("data_source"), question.alias("question"), answer.alias("answer"), image.alias("image"), extra.alias("extra_info"))

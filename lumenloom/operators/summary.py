@@ -36,6 +36,18 @@ def reasons(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return each.withColumn("reason", first_line(F.col("reason"))).withColumn("kind", failure_kind(F.col("reason")))
 
 
+def unscored_failures(samples: DataFrame, source: str = "data_source") -> DataFrame:
+    """Per source and reason the critical failures that have no score: data_source (unknown for null and empty), failure_reason (first line), count.
+
+    A failure that lists no reason counts as critical_failure, one that lists
+    several under each.
+    """
+    listed = F.when(F.size("failure_reasons") > 0, F.transform("failure_reasons", lambda r: F.coalesce(r, F.lit("None")))).otherwise(F.array(F.lit("critical_failure")))
+    name = F.coalesce(F.when(F.col(source) != "", F.col(source)), F.lit("unknown"))
+    rows = samples.where(F.col("score").isNull() & F.coalesce("critical_failure", F.lit(False))).select(name.alias("data_source"), F.explode(listed).alias("r"))
+    return rows.groupBy("data_source", F.substring_index("r", "\n", 1).alias("failure_reason")).agg(F.count(F.lit(1)).alias("count")).orderBy("data_source", "failure_reason")
+
+
 def failure_summary(samples: DataFrame, key: str) -> DataFrame:
     """Overall and per group: n, num_failed (with any reason), num_critical, num_unscored_noncritical; `level` tells which."""
     sets = samples.groupingSets([[], [F.col(key)]], F.col(key))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import os
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,32 @@ def write_json_report(rows: DataFrame, path: str) -> None:
     os.replace(draft, target)
 
 
+def write_bundle(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
+    """Small tables side by side, each as <name>.tsv (columns in their order) and <name>.json; returns the rows of each."""
+    root = Path(folder)
+    root.mkdir(parents=True, exist_ok=True)
+    counts = {}
+    for name, rows in tables.items():
+        found = collect_bounded(rows)
+        text = lambda v: "" if v is None else json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v)
+        lines = ["\t".join(rows.columns), *("\t".join(text(r[c]) for c in rows.columns) for r in found)]
+        for suffix, body in (("tsv", "\n".join(lines) + "\n"), ("json", json.dumps(json_values(found), indent=2, default=str, ensure_ascii=False))):
+            draft = root / f"{name}.{suffix}.tmp"
+            draft.write_text(body)
+            os.replace(draft, root / f"{name}.{suffix}")
+        counts[name] = len(found)
+    return counts
+
+
+def json_values(value: object) -> object:
+    """A value for JSON, however deep: numbers that aren't finite as null."""
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, dict):
+        return {k: json_values(v) for k, v in value.items()}
+    return [json_values(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def percent(value: Column) -> Column:
     """0.1234 as 12.34%; n/a for null."""
     return F.coalesce(F.format_string("%.2f%%", value * 100), F.lit("n/a")) if value is not None else F.lit("n/a")
