@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import math
-import os
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from lumenloom.sources import files
+
 
 def write_splits(rows: DataFrame, path: str, part: str = "part") -> None:
     """One parquet folder per split, in one pass over the rows."""
@@ -55,25 +55,18 @@ def collect_bounded(rows: DataFrame, most: int = 10_000) -> list[dict]:
 
 def write_json_report(rows: DataFrame, path: str) -> None:
     """A small result as one JSON file, replaced at once."""
-    target = Path(path)
-    draft = target.with_suffix(target.suffix + ".tmp")
-    draft.write_text(json.dumps(collect_bounded(rows), indent=2, default=str, ensure_ascii=False))
-    os.replace(draft, target)
+    files.put_text(rows.sparkSession, path, json.dumps(json_values(collect_bounded(rows)), indent=2, default=str, ensure_ascii=False))
 
 
 def write_bundle(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
     """Small tables side by side, each as <name>.tsv (columns in their order) and <name>.json; returns the rows of each."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
     counts = {}
     for name, rows in tables.items():
         found = collect_bounded(rows)
         text = lambda v: "" if v is None else json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v)
         lines = ["\t".join(rows.columns), *("\t".join(text(r[c]) for c in rows.columns) for r in found)]
         for suffix, body in (("tsv", "\n".join(lines) + "\n"), ("json", json.dumps(json_values(found), indent=2, default=str, ensure_ascii=False))):
-            draft = root / f"{name}.{suffix}.tmp"
-            draft.write_text(body)
-            os.replace(draft, root / f"{name}.{suffix}")
+            files.put_text(rows.sparkSession, f"{folder}/{name}.{suffix}", body)
         counts[name] = len(found)
     return counts
 
@@ -102,7 +95,7 @@ def write_markdown(rows: DataFrame, path: str, title: str) -> None:
     found = collect_bounded(rows)
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
     lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in rows.columns) + " |" for r in found]
-    Path(path).write_text("\n".join(lines) + "\n")
+    files.put_text(rows.sparkSession, path, "\n".join(lines) + "\n")
 
 
 def content_addressed(rows: DataFrame, content: str, name: str) -> DataFrame:
