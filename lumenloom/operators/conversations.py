@@ -43,12 +43,18 @@ ZOOM = "image_zoom_in_tool"
 def _variant(value: Column, path: str, kind: str) -> Column:
     """A member of a variant if it has the JSON type that `kind` (string, number, array, object) names, else null."""
     part = F.try_variant_get(value, path, "variant")
-    schema = F.schema_of_variant(part)
-    right = {
+
+    def typed(p: Column) -> Column:
+        return F.when(_has_type(F.schema_of_variant(p), kind), p)
+
+    return bound(part, typed)
+
+
+def _has_type(schema: Column, kind: str) -> Column:
+    return {
         "string": schema == "STRING", "integer": schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT)$|^DECIMAL\\([0-9]+,0\\)$"), "number": schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"),
         "array": schema.startswith("ARRAY"), "object": schema.startswith("OBJECT"),
     }[kind]
-    return F.when(right, part)
 
 
 def exact_call(call: Column, presented: Column, shown: Column, order: str = "index_first") -> Column:
@@ -68,24 +74,30 @@ def exact_call(call: Column, presented: Column, shown: Column, order: str = "ind
         raise ValueError(f"unknown order of arguments: {order}")
 
     def with_arguments(v: Column) -> Column:
-        plain_label, plain_idx = _variant(v, "$.region_description", "string").cast("string"), _variant(v, "$.img_idx", "integer").cast("int")
-        plain = plain_label.isNotNull() & plain_idx.isNotNull()
         written = _variant(v, "$.arguments", "string").cast("string")
-        given = F.coalesce(F.try_parse_json(written), _variant(v, "$.arguments", "object"))
-        label, idx, box = _variant(given, "$.label", "string").cast("string"), _variant(given, "$.img_idx", "integer").cast("int"), _variant(given, "$.bbox_2d", "array")
-        parts = F.try_variant_get(box, "$", "array<variant>")
+        return bound(F.coalesce(F.try_parse_json(written), _variant(v, "$.arguments", "object")), lambda given: bound(asked(v, written, given), checked))
+
+    def asked(v: Column, written: Column, given: Column) -> Column:
+        """What either form of a call says, and whether it has that form."""
+        parts = F.try_variant_get(_variant(given, "$.bbox_2d", "array"), "$", "array<variant>")
         numbers = F.transform(parts, lambda n: F.when(F.schema_of_variant(n).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(n, "$", "double")))
-        four = F.coalesce((F.size(numbers) == 4) & F.forall(numbers, lambda n: n.isNotNull()), F.lit(False))
+        is_object = lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+        return F.struct(
+            is_object(v).alias("object"), _variant(v, "$.region_description", "string").cast("string").alias("plain_label"), _variant(v, "$.img_idx", "integer").cast("int").alias("plain_idx"),
+            F.coalesce(_variant(v, "$.name", "string").cast("string") == ZOOM, F.lit(False)).alias("zoom"), (written.isNotNull() & given.isNull()).alias("unreadable"), is_object(given).alias("arguments"),
+            _variant(given, "$.label", "string").cast("string").alias("label"), _variant(given, "$.img_idx", "integer").cast("int").alias("idx"), numbers.alias("numbers"),
+        )
+
+    def checked(a: Column) -> Column:
+        plain = a["plain_label"].isNotNull() & a["plain_idx"].isNotNull()
+        four = F.coalesce((F.size(a["numbers"]) == 4) & F.forall(a["numbers"], lambda n: n.isNotNull()), F.lit(False))
         wrong = (
-            F.when(~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "not_an_object").when(plain, F.lit(None))
-            .when(~F.coalesce(_variant(v, "$.name", "string").cast("string") == ZOOM, F.lit(False)), "other_tool")
-            .when(written.isNotNull() & F.try_parse_json(written).isNull(), "unreadable_arguments")
-            .when(~F.coalesce(F.schema_of_variant(given).startswith("OBJECT"), F.lit(False)), "arguments_not_an_object")
-            .when(label.isNull() | idx.isNull() | ~four, "inexact_arguments")
+            F.when(~a["object"], "not_an_object").when(plain, F.lit(None)).when(~a["zoom"], "other_tool").when(a["unreadable"], "unreadable_arguments")
+            .when(~a["arguments"], "arguments_not_an_object").when(a["label"].isNull() | a["idx"].isNull() | ~four, "inexact_arguments")
         )
         return F.struct(
-            F.when(plain, plain_label).otherwise(label).alias("label"), F.when(plain, plain_idx).otherwise(idx).alias("idx"),
-            F.when(~plain, F.transform(numbers, lambda n: F.bround(n))).alias("box"), wrong.alias("wrong"),
+            F.when(plain, a["plain_label"]).otherwise(a["label"]).alias("label"), F.when(plain, a["plain_idx"]).otherwise(a["idx"]).alias("idx"),
+            F.when(~plain, F.transform(a["numbers"], lambda n: F.bround(n))).alias("box"), wrong.alias("wrong"),
         )
 
     def against(a: Column) -> Column:

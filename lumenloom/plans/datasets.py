@@ -181,10 +181,21 @@ def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.size(words).cast("bigint").alias("n_words"), F.size(F.array_distinct(words)).cast("bigint").alias("n_unique"), T.token_estimate(F.col("text")).alias("token_estimate"))
 
 
-@REGISTRY.add("degenerate_documents")
+_TOKENS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')"
+
+
+@REGISTRY.add(
+    "degenerate_documents",
+    sql=f"""WITH d AS (SELECT doc_id, length(text) AS n_chars, {_TOKENS} AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+      runs AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, w, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS g FROM w) GROUP BY doc_id, w, g) GROUP BY 1),
+      grams AS (SELECT doc_id, count(*) - count(DISTINCT g) AS repeats FROM (SELECT d.doc_id, array_to_string(ws[i + 1:i + 8], ' ') AS g FROM d JOIN w USING (doc_id) WHERE len(ws) >= 1000 AND i <= len(ws) - 8) GROUP BY 1),
+      r AS (SELECT d.doc_id, list_filter([CASE WHEN n_chars > 50000 THEN 'too_many_chars' END, CASE WHEN len(ws) > 8000 THEN 'too_many_words' END, CASE WHEN len(ws) >= 1000 AND len(list_distinct(ws)) / len(ws) < 0.2 THEN 'low_unique_ratio' END,
+        CASE WHEN run > 10 THEN 'repeated_word' END, CASE WHEN repeats > 50 THEN 'repeated_ngram' END], lambda x: x IS NOT NULL) AS reasons FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN grams USING (doc_id))
+      SELECT doc_id, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0""",
+)
 def degenerate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with signs of degenerate text and which these are."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.degenerate_reasons(F.col("text")).alias("reasons")).where(F.size("reasons") > 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.degenerate_reasons(F.col("text")), ",").alias("reasons")).where("reasons <> ''")
 
 
 @REGISTRY.add("exact_duplicates", sql="SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")

@@ -217,9 +217,8 @@ def exact_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).cast(conversations.SHOWN)
     presented = F.when(form == 7, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(1)))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
-    judged = rows.select(*order, conversations.exact_call(text, presented, shown).alias("c"))
-    numbered = readers.position(judged, order)
-    return numbered.select((F.col("index") + 1).alias("call_no"), "c.reason", "c.arguments")
+    numbered = readers.position(rows.select(*order), order)
+    return numbered.select((F.col("index") + 1).alias("call_no"), conversations.exact_call(text, presented, shown).alias("c")).select("call_no", "c.reason", "c.arguments")
 
 
 @REGISTRY.add("identity_changes", sql="""WITH a AS (SELECT data_source AS item, count(*) AS n FROM manifest GROUP BY 1), b AS (SELECT data_source AS item, count(*) AS n FROM manifest WHERE split = 'train' GROUP BY 1)
