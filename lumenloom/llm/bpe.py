@@ -14,7 +14,6 @@ import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator, Mapping
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +31,7 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 
 #: Words, and stretches between blanks, whose ids a worker remembers, and the longest of them; so a memory holds
 #: at most their product of characters and four bytes' worth of ids for each.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
 
 
 def read_ranks(path: str | Path) -> bytes:
@@ -168,6 +167,8 @@ class Transducer:
         if agreed:
             last = emitted[-1]
             going = [(n, p[agreed:]) for n, p in going]
+        if all(pending for _, pending in going):
+            last = -1  # what comes next stands beside a pending token, whatever came before
         after_state = (last, tuple(going))
         number = self.number.get(after_state)
         if number is None:
@@ -242,29 +243,36 @@ class Encoder:
         pairs = (line.split() for line in ranks.splitlines() if line)
         self.transducer = Transducer({base64.b64decode(token): int(rank) for token, rank in pairs})
         self._split = regex.compile(SPLIT)
-        self._words = _Memory(lambda w: self.transducer.encode(w.encode("utf-8")))
+        self._words = _Memory(self._word)
         self._stretches = _Memory(self._stretch)
+        self._after_blank = _Memory(lambda t: self._stretch(" " + t))
 
-    def _stretch(self, text: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
+        return array("i", self.transducer.encode(word.encode("utf-8"))).tobytes()
+
+    def _stretch(self, text: str) -> bytes:
         words = self._split.findall(text)
-        return self._words[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(self._words.__getitem__, words)))
+        # A stretch of one word is remembered as a stretch already.
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self._words.__getitem__, words))
 
-    def ids(self, text: str | None) -> Iterator[int]:
-        """The ids of a text, without special tokens; none for a null or empty text."""
+    def encoded(self, text: str | None) -> bytes:
+        """The ids of a text as 32-bit numbers side by side, without special tokens; none for a null or empty text."""
         if not text:
-            return iter(())
+            return b""
         parts = self._cut.split(text) if self._odd.search(text) else text.split(" ")
-        first = [parts[0]] if parts[0] else []
-        rest = map(" ".__add__, parts[1:])
-        return chain.from_iterable(map(self._stretches.__getitem__, chain(first, rest)))
+        first = self._stretches[parts[0]] if parts[0] else b""
+        return b"".join((first, *map(self._after_blank.__getitem__, parts[1:])))
+
+    def ids(self, text: str | None) -> Iterator[int]:
+        """The ids of a text."""
+        return iter(array("i", self.encoded(text)))
 
     def batch(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the offsets at which each text's begin."""
-        flat, offsets = array("i"), [0]
-        for text in texts:
-            flat.extend(self.ids(text))
-            offsets.append(len(flat))
-        return np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32), np.array(offsets, dtype=np.int32)
+        each = list(map(self.encoded, texts))
+        offsets = np.zeros(len(each) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4, out=offsets[1:])
+        return np.frombuffer(b"".join(each), dtype=np.int32), offsets.astype(np.int32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
