@@ -62,18 +62,8 @@ def quantile(value: Column, q: float) -> Column:
     return F.percentile(safe_float(value), F.lit(q))
 
 
-def json_safe(value: Column) -> Column:
-    """NaN and infinities as null, for JSON output."""
-    return finite_float(value)
-
-
 def job_key(trial: Column, file: Column, row: Column) -> Column:
     """SHA-256 of the canonical JSON object (sorted keys) that identifies a rollout job."""
     escaped = F.regexp_replace(F.regexp_replace(file, r"\\", r"\\\\"), '"', '\\\\"')
     text = F.concat(F.lit('{"resume_file_row_idx": '), row.cast("string"), F.lit(', "resume_val_file": "'), escaped, F.lit('", "trial_idx": '), trial.cast("string"), F.lit("}"))
     return F.sha2(text, 256)
-
-
-def first_known(*values: Column) -> Column:
-    """The first finite number of several values; chains of fallbacks for accuracies, tokens and timestamps."""
-    return F.coalesce(*[finite_float(v) for v in values])

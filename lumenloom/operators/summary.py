@@ -122,8 +122,3 @@ def describe(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame
     v = F.col(value)
     quart = [F.percentile(v, F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *quart, F.max(v).alias("max"))
-
-
-def weight_mass(weights: DataFrame, group: Column, weight: str = "weight") -> DataFrame:
-    """Sum of weights per group, and its share of the whole."""
-    return weights.groupBy(group.alias("grp")).agg(F.sum(weight).alias("mass"))

@@ -11,7 +11,7 @@ from lumenloom.functions import rescale as R
 from lumenloom.functions import samples as S
 from lumenloom.functions import text as T
 from lumenloom.functions import values as V
-from lumenloom.operators import conversations, datasets, identity, logs, summary
+from lumenloom.operators import conversations, datasets, identity, logs, records, summary
 from lumenloom.plans.evaluation import CROPS, SAMPLES, crops, rounded, samples
 from lumenloom.plans.registry import Registry, table
 from lumenloom.plans.trajectories import plain
@@ -189,6 +189,35 @@ def benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("extra_info.question_id").cast("bigint").alias("row_id"), "data_source", "question", "answer", "image", "extra_info.question_id", "extra_info.subset")
 
 
+@REGISTRY.add(
+    "chat_messages",
+    sql="""SELECT row_id, coalesce(len(images), 0) AS n_images, coalesce(len(images), 0) + CASE WHEN length(replace(coalesce(question, ''), '<image>', '')) > 0 THEN 1 ELSE 0 END AS n_parts, 'user' AS role,
+      CASE WHEN len(images) > 1 THEN images[2] ELSE images[1] END AS first_url FROM manifest""",
+)
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's questions as chat messages with one image tag each; images left over come first."""
+    content = F.concat(F.lit("<image>"), F.replace(F.coalesce("question", F.lit("")), F.lit("<image>"), F.lit("")))
+    prompt = F.array(F.struct(F.lit(None).cast("string").alias("role"), content.alias("content")))
+    rows = table(spark, sf_dir, "manifest").select("row_id", F.get(records.chat_messages(prompt, F.col("images")), F.lit(0)).alias("m"))
+    shown = F.filter("m.parts", lambda p: p["type"] == "image_url")
+    return plain(rows.select("row_id", F.size(shown).alias("n_images"), F.size("m.parts").alias("n_parts"), "m.role", F.get(shown, F.lit(0))["url"].alias("first_url")))
+
+
+@REGISTRY.add(
+    "packed_references",
+    sql="""WITH i AS (SELECT DISTINCT page_image_path AS path FROM region_desc_samples WHERE page_image_path IS NOT NULL), r AS (SELECT row_id, unnest(images) AS path FROM manifest)
+      SELECT CASE WHEN i.path IS NULL THEN 'missing' ELSE 'packed' END AS state, count(*) AS n, count(DISTINCT CASE WHEN i.path IS NOT NULL THEN r.path END) AS n_targets FROM r LEFT JOIN i USING (path) WHERE r.path IS NOT NULL GROUP BY 1""",
+)
+def packed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's images found among the page images and packed under their content's name, and those that are missing."""
+    images = table(spark, sf_dir, "region_desc_samples").where("page_image_path is not null").select("page_image_path").distinct().select(F.concat(F.lit("file:/d/"), "page_image_path").alias("path"), F.col("page_image_path").cast("binary").alias("content"))
+    none = F.lit(None).cast("string")
+    refs = F.transform("images", lambda i: F.struct(F.lit("path").alias("source_type"), F.concat(F.lit("/d/"), i).alias("path"), none.alias("value"), none.alias("url"), none.alias("uri")))
+    packed, _ = records.pack_references(table(spark, sf_dir, "manifest").select(F.col("row_id").alias("json_name"), refs.alias("input_images")), images)
+    known = packed.where("value is not null")
+    return known.groupBy(F.when(F.col("packed").isNull(), "missing").otherwise("packed").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("packed").alias("n_targets"))
+
+
 #: What a crop's parent is shown as, and the call of every kind with its verdict.
 _VERDICTS = (None, "other_tool", "inexact_arguments", "box_differs", None, "not_an_object", "other_parent", "not_one_image")
 
