@@ -52,7 +52,7 @@ def test_manifest_and_missing_images(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text(json.dumps({"question_id": 5, "question_type": ["a", "b"], "images": ["d/000001.jpg", "d/9.jpg"], "initial_rescale": 0.5}) + "\n\n" + json.dumps({"images": None}))
     rows = readers.read_manifest(spark, str(tmp_path / "m.jsonl"))
     first = rows.where("question_id is not null").first()
-    assert (first.question_id, first.question_type, first.initial_rescale, rows.count()) == ("5", '["a","b"]', 0.5, 2)
+    assert (first.question_id, json.loads(first.question_type), first.initial_rescale, rows.count()) == ("5", ["a", "b"], 0.5, 2)
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "000001.jpg").write_bytes(b"x")
     assert [r.image for r in readers.missing_images(rows, readers.read_pages(spark, str(tmp_path)), str(tmp_path)).collect()] == ["d/9.jpg"]
