@@ -36,6 +36,8 @@ COST, RIDGE, MOST_COUNTED = 4.0, 0.3, 10.0
 LENGTH, SPAN, DECAY = 4, 7, 0.6
 #: Offsets of a feature's characters, and their weights.
 OFFSETS = [((0, *rest), DECAY ** (rest[-1] - LENGTH + 1)) for rest in combinations(range(1, SPAN), LENGTH - 1)]
+#: The weight by the offset of the last character.
+WEIGHTS = {offsets[-1]: weight for offsets, weight in OFFSETS}
 #: Positions below which a line's length isn't taken as less, so that a few letters prove nothing.
 LEAST_POSITIONS = 20.0
 #: Slots of the table of feature weights (a power of two), and positions that are looked up together.
@@ -145,17 +147,21 @@ def _position_tables() -> list[np.ndarray]:
 _PLACES = _position_tables()
 
 
-def _slots(codes: np.ndarray, remaining: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """For each kind of gaps: its weight, the slot of the feature at every position, and whether it ends inside the line."""
+def _slots(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each kind of gaps: the offset of a feature's last character, and the slot of the feature at every position.
+
+    Kinds that begin with the same offsets share the work for them.
+    """
     places = [table[codes] for table in _PLACES]
-    for offsets, weight in OFFSETS:
-        n = len(codes) - offsets[-1]
-        if n <= 0:
-            continue
-        slot = places[0][:n] ^ places[1][offsets[1] : offsets[1] + n]
-        for k in range(2, LENGTH):
-            slot ^= places[k][offsets[k] : offsets[k] + n]
-        yield weight, slot, remaining[:n] > offsets[-1]
+    begun = {(0,): places[0]}
+    for offsets, _ in OFFSETS:
+        for k in range(1, LENGTH):
+            key, n = offsets[: k + 1], max(0, len(codes) - offsets[k])
+            if key not in begun or k == LENGTH - 1:
+                slot = begun[key[:-1]][:n] ^ places[k][offsets[k] : offsets[k] + n]
+                if k < LENGTH - 1:
+                    begun[key] = slot
+        yield offsets[-1], slot
 
 
 def _lengths(offsets: np.ndarray) -> np.ndarray:
@@ -178,12 +184,16 @@ def line_scores(lines: Sequence[str], table: np.ndarray) -> np.ndarray:
     total = np.zeros(len(codes), np.float32)
     for at in range(0, len(codes), CHUNK):
         own = total[at : at + CHUNK]
-        for weight, slot, inside in _slots(codes[at : at + CHUNK + SPAN], remaining[at : at + CHUNK + SPAN]):
+        left = remaining[at : at + CHUNK]
+        # Features of the same reach have the same weight, so they are added up before it is applied.
+        reach = {last: np.zeros(len(own), np.float32) for last in WEIGHTS}
+        for last, slot in _slots(codes[at : at + CHUNK + SPAN]):
             n = min(len(own), len(slot))
-            value = table[slot[:n]]
-            value *= np.float32(weight)
-            value *= inside[:n]
-            own[:n] += value
+            reach[last][:n] += table[slot[:n]]
+        for last, value in reach.items():
+            value *= np.float32(WEIGHTS[last])
+            value *= left > last
+            own += value
     sums = np.zeros(len(codes) + 1)
     np.cumsum(total, dtype=np.float64, out=sums[1:])
     return (sums[offsets[1:]] - sums[offsets[:-1]]) / _lengths(offsets)
@@ -196,10 +206,10 @@ class Features:
         codes, offsets = characters(lines)
         remaining = _remaining(offsets)
         slots, values, at = [], [], []
-        for weight, slot, inside in _slots(codes, remaining):
-            where = np.flatnonzero(inside)
+        for last, slot in _slots(codes):
+            where = np.flatnonzero(remaining[: len(slot)] > last)
             slots.append(slot[where])
-            values.append(np.full(len(where), weight, np.float32))
+            values.append(np.full(len(where), WEIGHTS[last], np.float32))
             at.append(where.astype(np.int32))
         position = np.concatenate(at)
         order = np.argsort(position, kind="stable")
