@@ -97,3 +97,9 @@ def reasons_of(value: Column) -> Column:
     """Failure reasons given as one text or as JSON text of a list, as an array; blank ones are left out."""
     listed = F.when(value.startswith("["), F.from_json(value, "array<string>"))
     return F.filter(F.coalesce(listed, F.array(value)), lambda r: r.isNotNull() & (F.trim(r) != ""))
+
+
+def core_time(generating: Column, parsing: Column, calling: Column) -> Column:
+    """Seconds that a conversation spent generating, parsing calls and calling tools; null if generating wasn't timed, other unknown times count as none."""
+    zero = lambda v: F.coalesce(finite_float(v), F.lit(0.0))
+    return F.when(generating.isNotNull(), zero(generating) + zero(parsing) + zero(calling))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -224,3 +228,41 @@ def rewrite_prefix(value: Column, mappings: dict[str, str]) -> Column:
         new = F.concat(F.lit(mappings[old].rstrip("/")), F.substring(value, len(stem) + 1, 2**30))
         out = F.when(hit, new) if out is None else out.when(hit, new)
     return value if out is None else out.otherwise(value)
+
+
+def slug(value: Column) -> Column:
+    """A text as part of a name: blanks, dots, slashes, colons and dashes as underscores, other runs of signs as one, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.translate(value, "/ .:-", "_____"), "[^A-Za-z0-9_]+", "_"), "^_|_$", "")
+
+
+def literal_list(value: Column) -> Column:
+    """A list written as text, as array<string>: a JSON or Python literal in brackets, else parts between commas and blanks; empty for null and blank. Arrow batches."""
+
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for raw in values:
+            text = "" if raw is None else raw.strip()
+            found = None
+            if text.startswith("[") and text.endswith("]"):
+                try:
+                    found = ast.literal_eval(text)
+                except (ValueError, SyntaxError, MemoryError, RecursionError):
+                    found = None
+            if not isinstance(found, list):
+                found = [part for part in re.split(r"[,\s]+", text)] if text else []
+            out.append([None if v is None else str(v) for v in found])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(value)
+
+
+def whole_numbers(values: Column) -> Column:
+    """The parts of an array that are whole numbers, in order."""
+    return F.filter(F.transform(values, lambda v: F.when(v.rlike(r"^\s*[+-]?\d+\s*$"), clean_text(v).try_cast("int"))), lambda n: n.isNotNull())
+
+
+def first_reasons(reasons: Column, most: int = 3) -> Column:
+    """The first reasons in a row, and how many there are in all if there are more; null for none."""
+    n = F.size(reasons)
+    shown = F.array_join(F.slice(reasons, 1, most), "; ")
+    return F.when(n > most, F.concat(shown, F.lit("; ... ("), n.cast("string"), F.lit(" reasons total)"))).when(n > 0, shown)

@@ -159,6 +159,48 @@ def parts_text(parts: Column, keep_text: bool = True, last_round_hint: str | Non
     return F.when(known, F.array_join(pieces, ""))
 
 
+def labelled_parts(parts: Column, separator: str = "---") -> Column:
+    """Parts of an old user message (array of type, text, detail) as kind, text, label, presented_img_idx, detail.
+
+    A text `Image 3:` labels the next image and goes; the separator's text is a
+    part of its own kind; an image without a label before it has none. Parts of
+    other types are left out.
+    """
+    none = F.lit(None).cast("string")
+    kind = "struct<kind:string,text:string,label:string,presented_img_idx:int,detail:string>"
+    made = lambda k, text=none, label=none, idx=None, detail=none: F.struct(F.lit(k).alias("kind"), text.alias("text"), label.alias("label"), (F.lit(None) if idx is None else idx).cast("int").alias("presented_img_idx"), detail.alias("detail")).cast(kind)
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), none.alias("label"))
+
+    def step(acc: Column, p: Column) -> Column:
+        trimmed = clean_text(F.coalesce(p["text"], F.lit("")))
+        idx = F.regexp_extract(trimmed, r"^Image (\d+):$", 1)
+        add = lambda part, label: F.struct(F.concat(acc["out"], F.array(part)).alias("out"), label.alias("label"))
+        held = acc["label"]
+        return (
+            F.when((p["type"] == "text") & (trimmed == separator), add(made("separator", F.lit(f"\n{separator}\n")), held))
+            .when((p["type"] == "text") & (idx != ""), F.struct(acc["out"].alias("out"), F.regexp_replace(trimmed, ":$", "").alias("label")))
+            .when(p["type"] == "text", add(made("text", p["text"]), held))
+            .when(p["type"] == "image_url", add(made("image_ref", label=held, idx=F.regexp_extract(held, r"(\d+)$", 1), detail=p["detail"]), none))
+            .otherwise(acc)
+        )
+
+    return F.aggregate(parts, start, step)["out"]
+
+
+def recovered_result(parts: Column, last_round_hint: str) -> Column:
+    """struct(hint, presented, secondary): what `labelled_parts` tell of a tool result; null if no image among them is labelled.
+
+    hint is the text but for the hint of the last round, whose presence
+    `secondary` tells; presented are the labelled images.
+    """
+    is_hint = lambda p: clean_text(p["text"]) == last_round_hint.strip()
+    texts = F.filter(parts, lambda p: p["kind"] == "text")
+    shown = F.transform(F.filter(parts, lambda p: p["presented_img_idx"].isNotNull()), lambda p: p["presented_img_idx"])
+    hint = clean_text(F.array_join(F.transform(F.filter(texts, lambda p: ~is_hint(p)), lambda p: p["text"]), ""))
+    secondary = F.when(F.exists(texts, is_hint), F.array(F.lit("last_round_hint"))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(shown) > 0, F.struct(hint.alias("hint"), shown.alias("presented"), secondary.alias("secondary")))
+
+
 def convert(messages: Column, stitch_hints: bool = True, calls: Column | None = None) -> Column:
     """A conversation's training row: struct of kept (role, text, loss, arguments) and drop_reason (null if it is kept).
 

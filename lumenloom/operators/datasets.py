@@ -125,3 +125,15 @@ def benchmark_rows(rows: DataFrame, kind: str, data_source: str, root: str = "")
     answer = numbers(F.col("bbox")) if kind == "region" else has("answer")
     image = F.concat(F.lit(f"file://{root.rstrip('/')}/"), has("image"))
     return rows.select(F.lit(data_source).alias("data_source"), question.alias("question"), answer.alias("answer"), image.alias("image"), extra.alias("extra_info"))
+
+
+def reconciled(expected: DataFrame, rows: DataFrame, source: str = "source", size: str = "expected") -> DataFrame:
+    """Expected rows of each source beside those there are: source, expected, actual (0 for none), matches (null where nothing is expected).
+
+    Sources that aren't expected but have rows are kept, null sources are one.
+    """
+    have = rows.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("actual"))
+    joined = expected.select(source, size, F.lit(True).alias("_known")).join(have, F.col(source).eqNullSafe(F.col("_source")), "full_outer")
+    name = F.when(F.col("_known").isNotNull(), F.col(source)).otherwise(F.col("_source"))
+    actual = F.coalesce("actual", F.lit(0).cast("bigint"))
+    return joined.select(name.alias(source), F.col(size).alias("expected"), actual.alias("actual"), (F.col(size) == actual).alias("matches"))

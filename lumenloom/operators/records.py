@@ -51,6 +51,11 @@ def chat_messages(prompt: Column, urls: Column, detail: str | None = None) -> Co
     return bound(F.struct(given.alias("m"), images.alias("u")), built)
 
 
+def pruned_content(parts: Column) -> Column:
+    """A message's parts (PART) without what isn't text: array of type and text, [pruned] in place of other content."""
+    return F.transform(parts, lambda p: F.struct(F.coalesce(p["type"], F.lit("unknown")).alias("type"), F.when(p["type"] == "text", p["text"]).otherwise("[pruned]").alias("text")))
+
+
 def tool_call_text(name: Column, arguments: Column) -> Column:
     """A structured tool call as the tagged text models write; arguments that aren't JSON become a JSON text."""
     quoted = lambda c: bound(F.to_json(F.struct(c.alias("v"))), lambda t: t.substr(F.lit(6), F.length(t) - 6))

@@ -55,3 +55,8 @@ def first_occurrence(rows: DataFrame, group: Column, order: Sequence[str]) -> Da
     first = rows.groupBy(group.alias("_g")).agg(F.min(F.struct(*order)).alias("_f"))
     tagged = rows.withColumn("_g", group)
     return tagged.join(first, tagged["_g"].eqNullSafe(first["_g"]), "left").withColumn("is_first", F.struct(*[tagged[c] for c in order]) == F.col("_f")).drop(tagged["_g"]).drop(first["_g"]).drop("_f")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """All rows in pseudorandom order, which key and seed determine (a range sort; ties by key)."""
+    return rows.withColumn("_k", shuffle_key(F.col(key), seed)).orderBy(F.asc_nulls_last("_k"), key).drop("_k")

@@ -139,14 +139,25 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(
     "source_reconciliation",
-    sql="""WITH e AS (SELECT data_source, count(*) AS expected FROM manifest GROUP BY 1), a AS (SELECT data_source, count(*) AS actual FROM manifest WHERE answer IS NOT NULL AND question IS NOT NULL GROUP BY 1)
-      SELECT e.data_source, expected, coalesce(actual, 0) AS actual, expected - coalesce(actual, 0) AS missing FROM e LEFT JOIN a ON a.data_source IS NOT DISTINCT FROM e.data_source""",
+    sql="""WITH e AS (SELECT data_source, count(*) AS expected FROM manifest WHERE split = 'train' GROUP BY 1), a AS (SELECT data_source, count(*) AS actual FROM manifest WHERE answer IS NOT NULL AND question IS NOT NULL AND split IN ('train', 'val') GROUP BY 1)
+      SELECT CASE WHEN expected IS NOT NULL THEN e.data_source ELSE a.data_source END AS data_source, expected, coalesce(actual, 0) AS actual, expected = coalesce(actual, 0) AS matches FROM e FULL JOIN a ON a.data_source IS NOT DISTINCT FROM e.data_source""",
 )
 def source_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected and retained rows of each source, in one pass."""
-    kept = F.count(F.when(F.col("answer").isNotNull() & F.col("question").isNotNull(), 1))
-    out = table(spark, sf_dir, "manifest").groupBy("data_source").agg(F.count(F.lit(1)).alias("expected"), kept.alias("actual"))
-    return out.withColumn("missing", F.col("expected") - F.col("actual"))
+    """Expected rows of each source (its training rows) beside those retained of training and validation."""
+    rows = table(spark, sf_dir, "manifest")
+    expected = rows.where("split = 'train'").groupBy("data_source").agg(F.count(F.lit(1)).alias("expected"))
+    return datasets.reconciled(expected, rows.where("answer is not null and question is not null and split in ('train', 'val')"), "data_source")
+
+
+@REGISTRY.add(
+    "reason_texts",
+    sql="""WITH r AS (SELECT line_id, sample.failure_reasons AS fr, len(sample.failure_reasons) AS n FROM checkpoint_rows WHERE sample IS NOT NULL)
+      SELECT line_id, CASE WHEN n > 1 THEN fr[1] || '; ... (' || n || ' reasons total)' WHEN n > 0 THEN fr[1] END AS first_reason, regexp_replace(regexp_replace(translate(fr[1], '/ .:-', '_____'), '[^A-Za-z0-9_]+', '_', 'g'), '^_|_$', '', 'g') AS name FROM r""",
+)
+def reason_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first failure reason of every sample, with their number if there are more, and as part of a name."""
+    reasons = F.col("sample.failure_reasons")
+    return table(spark, sf_dir, "checkpoint_rows").where("sample is not null").select("line_id", T.first_reasons(reasons, 1).alias("first_reason"), T.slug(F.get(reasons, F.lit(0))).alias("name"))
 
 
 def _needles(text: str, needles: tuple[str, ...]) -> str:

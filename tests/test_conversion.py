@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenloom.functions import rescale as R
+from lumenloom.functions import samples as S
+from lumenloom.functions import text as T
 from lumenloom.operators import conversations as C
-from lumenloom.operators import datasets, identity, summary
+from lumenloom.operators import datasets, identity, records, sampling, summary
 from lumenloom.sources import sinks
 
 
@@ -144,3 +146,35 @@ def test_unscored_failures_and_bundle(spark, tmp_path):
     assert sinks.write_bundle({"t": df.withColumn("score", F.lit(float("nan")))}, str(tmp_path / "b")) == {"t": 5}
     assert json.loads((tmp_path / "b" / "t.json").read_text())[0]["score"] is None
     assert (tmp_path / "b" / "t.tsv").read_text().splitlines()[0] == "data_source\tscore\tcritical_failure\tfailure_reasons"
+
+
+def test_labels_go_to_the_next_image(spark):
+    parts = [("text", "look\n", None), ("text", " Image 3: ", None), ("image_url", None, "high"), ("text", "\n---\n", None), ("image_url", None, None), ("video", "x", None), ("text", "last round", None), ("text", "Image 4:", None)]
+    df = spark.createDataFrame([(parts,), ([("text", "a", None)],), ([],)], "p array<struct<type:string,text:string,detail:string>>")
+    rows = df.select(C.labelled_parts(F.col("p")).alias("p"))
+    got = rows.collect()
+    assert [(x.kind, x.text, x.label, x.presented_img_idx, x.detail) for x in got[0].p] == [
+        ("text", "look\n", None, None, None), ("image_ref", None, "Image 3", 3, "high"), ("separator", "\n---\n", None, None, None), ("image_ref", None, None, None, None), ("text", "last round", None, None, None),
+    ]
+    told = [r.r for r in rows.select(C.recovered_result(F.col("p"), " last round ").alias("r")).collect()]
+    assert (told[0].hint, told[0].presented, told[0].secondary) == ("look", [3], ["last_round_hint"]) and told[1:] == [None, None]
+
+
+def test_small_texts_and_times(spark):
+    assert [one(spark, T.slug(F.lit(v))) for v in ("a/b c.d", "-x#%y-", "0.25")] == ["a_b_c_d", "x_y", "0_25"]
+    lists = ["['a', 1, None]", "[1, 2", "3, 4 x", "", None, '["b"]']
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v string")
+    got = [r.l for r in df.orderBy("i").select(T.literal_list(F.col("v")).alias("l")).collect()]
+    assert got == [["a", "1", None], ["[1", "2"], ["3", "4", "x"], [], [], ["b"]]
+    assert one(spark, T.whole_numbers(F.array(*[F.lit(v) for v in ("1", " 2 ", "x", "3.5", "-4")]))) == [1, 2, -4]
+    assert [one(spark, T.first_reasons(F.array(*map(F.lit, v)).cast("array<string>"))) for v in (list("abcde"), ["a"], [])] == ["a; b; c; ... (5 reasons total)", "a", None]
+    assert [one(spark, S.core_time(F.lit(a).cast("double"), F.lit(None).cast("double"), F.lit(2.0))) for a in (1.5, None)] == [3.5, None]
+    assert [(p.type, p.text) for p in one(spark, records.pruned_content(F.array(records._part("text", F.lit("a")), records._part("image_url", url=F.lit("u")))))] == [("text", "a"), ("image_url", "[pruned]")]
+
+
+def test_shuffling_and_reconciling(spark):
+    order = [r.id for r in sampling.shuffled(spark.range(50), "id", 1).collect()]
+    assert sorted(order) == list(range(50)) and order == [r.id for r in sampling.shuffled(spark.range(50).repartition(5), "id", 1).collect()] != list(range(50))
+    want = spark.createDataFrame([("a", 2), ("b", 1), ("c", None), (None, 1)], "source string, expected int")
+    have = spark.createDataFrame([("a",), ("a",), ("d",), (None,)], "source string")
+    assert {tuple(r) for r in datasets.reconciled(want, have).collect()} == {("a", 2, 2, True), ("b", 1, 0, False), ("c", None, 0, None), (None, 1, 1, True), ("d", None, 1, None)}
