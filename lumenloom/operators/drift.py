@@ -398,14 +398,14 @@ def promote_by(ingested: DataFrame, approved: Mapping[str, str], aliases: str, f
     rows = ingested.withColumn("_told", F.array_sort(F.filter(tagged, lambda x: x["t"].isNotNull())))
 
     def read(name: str, kind: str) -> Column:
-        values = F.transform(F.filter("_told", lambda x: x["t"] == name), lambda x: _lenient(F.try_parse_json(x["v"]), kind))
+        values = F.transform(F.filter("_told", lambda x: x["t"] == name), lambda x: bound(F.try_parse_json(x["v"]), lambda v: _lenient(v, kind)))
         first = F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
         return F.coalesce(F.col(f"`{name}`"), first) if name in ingested.columns else first
 
     def spent(x: Column) -> Column:
         done = x["v"] == "null"
         for name, kind in approved.items():
-            done = done | ((x["t"] == name) & _lenient(F.try_parse_json(x["v"]), kind).isNotNull())
+            done = done | ((x["t"] == name) & bound(F.try_parse_json(x["v"]), lambda v: _lenient(v, kind).isNotNull()))
         return done
 
     gone = F.transform(F.filter("_told", spent), lambda x: x["k"])
