@@ -36,7 +36,7 @@ def next_patterns(messages: DataFrame, conv: str, order: str) -> DataFrame:
 #: Images shown in a conversation, and what `exact_calls` takes of a message.
 SHOWN = "array<struct<presented_img_idx:int,kind:string,parent_presented_img_idx:int,bbox_on_presented:array<double>,display_size:array<double>>>"
 CALLING = "array<struct<role:string,type:string,call:string,presented:array<int>>>"
-#: The tool that the calls name.
+# Fixed value: the tool that the calls name.
 ZOOM = "image_zoom_in_tool"
 
 
