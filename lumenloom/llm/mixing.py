@@ -129,7 +129,8 @@ def numbered(rows: DataFrame, order: str, source: str = "data_source", total: in
 
     Rows are spread over buckets by a hash of `order`, numbered inside (source,
     bucket) and shifted by the counts of the buckets before, so no source is
-    sorted in one task however large it is. `total` (about how many rows there
+    sorted in one task however large it is. The counts are joined by merging, as
+    the rows already lie in that order and counts grow with the rows. `total` (about how many rows there
     are) saves a count.
     """
     buckets = max(1, math.ceil((rows.count() if total is None else total) / NUMBERED_TOGETHER))
@@ -137,7 +138,7 @@ def numbered(rows: DataFrame, order: str, source: str = "data_source", total: in
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("key", "bucket").orderBy(order)
-    return keyed.withColumn("at", F.row_number().over(inside) - 1).join(offsets, ["key", "bucket"]).select("key", (F.col("offset") + F.col("at")).alias("index"), order)
+    return keyed.withColumn("at", F.row_number().over(inside) - 1).join(offsets.hint("merge"), ["key", "bucket"]).select("key", (F.col("offset") + F.col("at")).alias("index"), order)
 
 
 class Shards:
@@ -218,7 +219,8 @@ def mix(rows: DataFrame, weights: DataFrame, seed: int = 17, order: str = "row_i
 
     The driver holds one row per source. Counts are drawn and slots permuted in
     the tasks, one shard after another; the only shuffles number the records and
-    join them with their slots by (source, index), which no two records share.
+    join them with their slots by (source, index), which no two records share;
+    neither side is broadcast, as both have as many rows as the mix.
     """
     spark = rows.sparkSession
     plan = mix_plan(rows, weights, source).select("source", "key", "n_rows", "planned").orderBy("key").limit(MOST_SOURCES + 1).collect()
@@ -240,4 +242,5 @@ def mix(rows: DataFrame, weights: DataFrame, seed: int = 17, order: str = "row_i
 
     numbers = spark.range(0, len(shards), numPartitions=max(1, min(len(shards), 10_000)))
     wanted = numbers.mapInArrow(run, "shard bigint, slot bigint, source string, key string, repeat int, index bigint")
-    return wanted.join(numbered(rows, order, source, sum(p.n_rows for p in plan)), ["key", "index"]).select("shard", "slot", "source", "repeat", order)
+    # Spark takes the slots for as small as the list of shards they are drawn for, so without the hint it would broadcast them all.
+    return wanted.join(numbered(rows, order, source, sum(p.n_rows for p in plan)).hint("merge"), ["key", "index"]).select("shard", "slot", "source", "repeat", order)

@@ -78,3 +78,12 @@ def test_empty_tables(spark):
     assert mixing.mix(rows.limit(0), weights).count() == 0
     assert mixing.mix(rows, weights.limit(0)).count() == 0
     assert all(not r.n_rows for r in mixing.mix_plan(rows.limit(0), weights).collect())
+
+
+def test_slots_are_not_broadcast(spark):
+    mixed = mixing.mix(*data(spark), slots=100)
+    plan = mixed._jdf.queryExecution().executedPlan()
+    assert "Broadcast" not in plan.toString()
+    assert mixed.count() == 559
+    mixed.collect()
+    assert "Broadcast" not in plan.toString() and "SortMergeJoin" in plan.toString()  # nor by the adaptive plan that ran
