@@ -160,3 +160,35 @@ def test_lines_late_in_long_texts_are_learned(spark, skewed):
     truth = np.arange(1000, 1500) % 20 == 0
     assert found[truth].all()
     assert found[~truth].mean() < 0.05
+
+
+def test_frequent_forms_with_a_few_harmful_labels_are_harmless():
+    """Of harmful forms a sixth of the documents is labelled so; a hundred harmless forms have one to three such labels of many documents."""
+    r = np.random.default_rng(4)
+    everywhere = np.concatenate([r.integers(8, 40, 40), r.integers(100, 400, 60)]).astype(float)
+    bad = np.concatenate([np.maximum(1, np.round(everywhere[:40] / 6)), r.integers(1, 4, 60)])
+    told = harm._chance_forms(bad, everywhere, 300, 100_000)
+    assert not told[:40].any() and told[40:].all()
+    assert not harm._chance_forms(bad[:10], everywhere[:10], 300, 100_000).any()  # too few forms to tell
+
+
+def test_forms_are_counted_in_all_texts(spark):
+    texts = ["Unsure about the unit, kW seems right.", "All of KW seems right. The tree seems tall.", "kW seems right. kW seems right.", "He says kW seems right.", None, ""]
+    counter = harm.FormCounter(["kW seems right.", "Page 5.", "Lot 7 of Oslo is a muddy hole."])
+    assert set(counter.pieces) == {"kw seems right.", "lot 0 of n is a muddy hole."}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "Lot 81 of New York is a muddy hole."])], "doc_id bigint, text string")
+    counts, n_texts = harm.form_counts(docs.repartition(3), counter)
+    assert counts == {"kw seems right.": 2, "lot 0 of n is a muddy hole.": 1} and n_texts == 5
+    assert harm.form_counts(docs.limit(0), counter)[1] == 0
+
+
+def test_a_frequent_harmless_form_in_few_harmful_documents_is_not_found():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    harmless = [" ".join(["The", *(word() for _ in range(4)), "hall."]) for _ in range(40)]
+    insults = [" ".join(["You", *(word() for _ in range(4)), "swine."]) for _ in range(40)]
+    texts = [r.choice(insults) if i % 50 == 0 else r.choice(harmless) for i in range(20_000)]
+    labelled = [(r.choice(insults), True) for _ in range(120)] + [(f"Page {i} of the plan.", False) for i in range(300)] + [(x, True) for x in harmless[:25] for _ in range(2)]
+    counted = harm.train([t for t, _ in labelled], [y for _, y in labelled], 5, lambda counter: (counter.count(texts), len(texts)))
+    assert np.mean(np.array(counted.score(harmless)) > 0) < 0.05
+    assert np.mean(np.array(counted.score(insults)) > 0) > 0.9
